@@ -1,12 +1,14 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from meridian.llm import quality_rules, substring_dedup
+from meridian.llm import decontaminate, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
+    "op4_decontaminate": decontaminate.op4,
     "op7_substring_dedup": substring_dedup.op7,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
 }
