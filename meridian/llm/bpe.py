@@ -6,27 +6,29 @@ lowest rank; merging it changes two pairs and removes one, each by a point updat
 logarithmic time, until the root holds no rank. Words of similar length go through
 their trees side by side, one merge of each at a time.
 
-Normalising and cutting into pieces follow the tokenizer file. Texts are cut at
-spaces, across which no piece of such a tokenizer runs; every distinct part is encoded once per
-worker and kept in a cache of bounded size.
+Normalising and cutting into words follow the tokenizer file: by a pattern for texts
+below U+0250, by the library's own normaliser and pre-tokenizer for others. A word is
+merged once per worker and kept in a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from meridian.llm.words import by_size
 
-SCAN_BYTES = 1 << 20
-CACHE_PARTS = 300_000
+SCAN_BYTES = 2 << 20
+CACHE_WORDS = 400_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -109,9 +111,38 @@ class SegmentTreeBPE:
             yield row[row >= 0].tolist()
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte: itself where printable, else the next free one from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in plain else next(free)) for b in range(256)]
+
+
+class Cache(dict):
+    """A dict that forgets what two fills of ``room`` entries have not asked for."""
+
+    def __init__(self, room: int) -> None:
+        super().__init__()
+        self.room, self.old = room, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def lacks(self, key) -> bool:
+        return key not in self and key not in self.old
+
+    def turn(self) -> None:
+        if len(self) > self.room:
+            self.old = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encoding and decoding of whole texts as a ``tokenizers`` BPE file with word ends and no decoder defines them."""
 
+    #: The file's pieces, for lower-cased texts below U+0250, where white space is as listed.
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x20\x09-\x0D\x85\xA0\p{L}\p{N}]+")
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 
     def __init__(self, path: str) -> None:
@@ -126,51 +157,56 @@ class Codec:
         self.names = {i: s for s, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.parts: dict[str, tuple[bytes, str]] = {"": (b"", "")}
-        self.words: dict[str, list[int]] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        """The words of a part without special tokens, in the byte alphabet."""
-        if text.isascii() and text.isprintable():
+        self.alphabet = byte_alphabet()
+        self.inner, self.last = [self.vocab[c] for c in self.alphabet], [self.vocab[c + self.suffix] for c in self.alphabet]
+        self.byte = {c: b for b, c in enumerate(self.alphabet)}
+        self.words = Cache(CACHE_WORDS)  # by the word's bytes or, where a text has them, its characters
+
+    def _pieces(self, text: str) -> list:
+        """The words of a text without special tokens; bytes where the library has mapped them."""
+        if text.isascii():
             return self.ASCII.findall(text.lower())
+        if max(text) < "\u0250":
+            return self.PIECE.findall(text.lower())
         text = self.library.normalizer.normalize_str(text)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text) if w]
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > CACHE_PARTS:
-            self.parts = {"": (b"", "")}
-        if len(self.words) > CACHE_PARTS:
-            self.words = {}
-        cut: list[list[str | int]] = []
-        for part in parts:
-            pieces: list[str | int] = []
-            for text in self.cut.split(part) if self.cut and "<" in part else [part]:
-                if text in self.special:
-                    pieces.append(self.special[text])
-                elif text:
-                    pieces.extend(self._pieces(text))
-            cut.append(pieces)
-        new = list({w for pieces in cut for w in pieces if isinstance(w, str) and w not in self.words})
-        vocab, suffix = self.vocab, self.suffix
-        for word, ids in zip(new, self.bpe.encode([[vocab[c] for c in w[:-1]] + [vocab[w[-1] + suffix]] for w in new])):
-            self.words[word] = ids
-        for part, pieces in zip(parts, cut):
-            ids = [i for p in pieces for i in ([p] if isinstance(p, int) else self.words[p])]
-            self.parts[part] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids]))
+        return [bytes(map(self.byte.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text) if w]
+
+    def pieces(self, text: str) -> list:
+        """All words of a text; special tokens as their ids."""
+        if not self.cut or "<" not in text:
+            return self._pieces(text)
+        out: list = []
+        for part in self.cut.split(text):
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                out.extend(self._pieces(part))
+        return out
+
+    def _learn(self, words: list) -> None:
+        self.words.turn()
+        inner, last, names, rows = self.inner, self.last, self.names, []
+        for word in words:
+            if isinstance(word, int):
+                rows.append([word])
+                continue
+            raw = word if isinstance(word, bytes) else word.encode()
+            row = [inner[b] for b in raw]
+            row[-1] = last[raw[-1]]
+            rows.append(row)
+        for word, ids in zip(words, self.bpe.encode(rows)):
+            self.words[word] = (array("I", ids).tobytes(), " ".join([names[i] for i in ids]))
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Each text's ids, as little-endian 32-bit integers, and its decoding."""
-        split = [t.split(" ") for t in texts]
-        new = {p for parts in split for p in parts if p not in self.parts}
+        cut = [self.pieces(t) for t in texts]
+        new = [w for w in {w for words in cut for w in words} if self.words.lacks(w)]
         if new:
-            self._learn(list(new))
-            missing = {p for parts in split for p in parts if p not in self.parts}  # those a cleared cache has lost
-            if missing:
-                self._learn(list(missing))
-        get, out = self.parts.__getitem__, []
-        for parts in split:
-            found = [get(p) for p in parts]
-            out.append((b"".join([x for x, _ in found]), " ".join([y for _, y in found if y])))
+            self._learn(new)
+        words, out = self.words, []
+        for text in cut:
+            found = [words[w] for w in text]
+            out.append((b"".join([x for x, _ in found]), " ".join([y for _, y in found])))
         return out
 
     def decode(self, ids: list[int]) -> str:

@@ -1,10 +1,11 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from meridian.llm import decontaminate, ngram_join, quality_rules, substring_dedup
+from meridian.llm import bpe, decontaminate, ngram_join, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
     "op4_decontaminate": decontaminate.op4,
+    "op5_bpe": bpe.op5,
     "op6_ngram_join": ngram_join.op6,
     "op7_substring_dedup": substring_dedup.op7,
 }
