@@ -130,7 +130,10 @@ class Cache(dict):
         return value
 
     def lacks(self, key) -> bool:
-        return key not in self and key not in self.old
+        """Whether the key is unknown; a known one is kept over the next turn."""
+        if key not in self and key in self.old:
+            self[key] = self.old[key]
+        return key not in self
 
     def turn(self) -> None:
         if len(self) > self.room:

@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from meridian.llm import bpe, decontaminate, ngram_join, quality_rules, substring_dedup
+from meridian.llm import bpe, decontaminate, ngram_join, quality_rules, substring_dedup, token_store
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_bpe": bpe.op5,
     "op6_ngram_join": ngram_join.op6,
     "op7_substring_dedup": substring_dedup.op7,
+    "op10_token_store": token_store.op10,
 }
 
 ORACLES: dict[str, str] = {
