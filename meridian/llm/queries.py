@@ -1,13 +1,15 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from meridian.llm import bpe, decontaminate, ngram_join, quality_rules, substring_dedup, token_store
+from meridian.llm import bpe, decontaminate, ngram_join, quality_rules, secrets, substring_dedup, token_store, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2,
+    "op3_secrets": secrets.op3,
     "op4_decontaminate": decontaminate.op4,
     "op5_bpe": bpe.op5,
     "op6_ngram_join": ngram_join.op6,
     "op7_substring_dedup": substring_dedup.op7,
+    "op9_toxicity": toxicity.op9,
     "op10_token_store": token_store.op10,
 }
 
