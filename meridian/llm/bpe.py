@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from meridian.llm.frames import carried
 from meridian.llm.words import by_size
 
 SCAN_BYTES = 2 << 20
@@ -233,14 +234,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ``tokenizer`` is the path of the tokenizer file on every executor. Null and empty texts have no ids and decode to
     the empty string; null, tied and repeated ids give a row each; an empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(text_col).alias("__text"), *[F.col(c) for c in (id_col, *keep)])
-    names = rows.columns[1:]
+    names = [id_col, *keep]
+    rows, text = carried(docs, text_col, tuple(names))
     types = [to_arrow_type(rows.schema[c].dataType) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(tokenizer)
-        for batch in by_size(batches, "__text", SCAN_BYTES):
-            found = tool.encode_all([t or "" for t in batch.column("__text").to_pylist()])
+        for batch in by_size(batches, text, SCAN_BYTES):
+            found = tool.encode_all([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(t) for c, t in zip(names, types)), pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.string())], [*names, "ids", "decoded"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)

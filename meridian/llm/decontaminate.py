@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meridian.llm.frames import written
+from meridian.llm.frames import without, written
 from meridian.llm.words import ALNUM, LOWER, by_size, scan, text_buffer
 
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 GAP = 64
-INDEX = "ids {ids}, n_words binary, firsts binary, terms binary, counts binary, steps binary"
+INDEX = "ids {ids}, text_hashes binary, n_words binary, firsts binary, terms binary, counts binary, steps binary"
 
 
 def _delta(sorted_values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -99,11 +99,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             steps = _delta(place.astype(np.int32), counts) if len(hashes) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_pydict({
                 "ids": pa.array([batch.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)),
+                "text_hashes": pa.array([batch.column("text_hash").to_numpy().tobytes()], pa.binary()),
                 "n_words": pa.array([n_words.astype(np.int32).tobytes()], pa.binary()), "firsts": pa.array([firsts.astype(np.int32).tobytes()], pa.binary()),
                 "terms": pa.array([hashes[heads].tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "steps": pa.array([steps.tobytes()], pa.binary()),
             })
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     return rows.mapInArrow(shards, INDEX.format(ids=f"array<{id_type}>"))
 
 
@@ -112,6 +113,7 @@ class Shard:
 
     def __init__(self, row: dict) -> None:
         self.ids = row["ids"]
+        self.text_hashes = np.frombuffer(row["text_hashes"], np.int64)
         self.n_words = np.frombuffer(row["n_words"], np.int32).astype(np.int64)
         self.firsts = np.frombuffer(row["firsts"], np.int32).astype(np.int64)
         terms, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32)
@@ -179,7 +181,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "item_id", text_c
     """Exact phrase matches of every window of the queries.
 
     A window is ``window`` consecutive words of a query, or all words of a shorter one. Returns one row per document:
-    ``id``, ``n_words``, ``spans`` (maximal runs of hit words, as [first, end) pairs) and ``items`` (ids, as sorted
+    ``id``, ``text_hash`` (xxhash64 of the text), ``n_words``, ``spans`` (maximal runs of hit words, as [first, end) pairs) and ``items`` (ids, as sorted
     strings, of the queries with a window in the document). Queries without words or text match nothing.
     """
     if window > GAP:
@@ -221,12 +223,12 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "item_id", text_c
                 for a, b, d in zip(firsts, lasts, shard.document(firsts)):
                     spans[d].append({"first": int(a - shard.firsts[d]), "end": int(b - shard.firsts[d])})
             yield pa.RecordBatch.from_pydict({
-                "id": pa.array(shard.ids, batch_type), "n_words": pa.array(shard.n_words, pa.int64()),
+                "id": pa.array(shard.ids, batch_type), "text_hash": pa.array(shard.text_hashes), "n_words": pa.array(shard.n_words, pa.int64()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                 "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             })
 
-    return index.mapInArrow(match, f"id {id_type}, n_words long, spans array<struct<first:int,end:int>>, items array<string>")
+    return index.mapInArrow(match, f"id {id_type}, text_hash long, n_words long, spans array<struct<first:int,end:int>>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -236,6 +238,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return search(index, benchmark, item_col, item_text, window)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a window of a benchmark item; all columns are kept."""
+    found = contamination(docs, benchmark, id_col, text_col).where(F.size("spans") > 0)
+    return without(docs, found, id_col, text_col)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over ``documents`` and ``benchmark``."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -50,3 +50,20 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def carried(docs: DataFrame, text_col: str, columns: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """``columns`` of ``docs`` and the text, and the name that the text has there; it is not sent twice."""
+    if text_col in columns:
+        return docs.select(*columns), text_col
+    return docs.select(*columns, F.col(text_col).alias("__text")), "__text"
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, few: int = 100_000) -> DataFrame:
+    """``docs`` without the rows named in ``gone`` (``id``, ``text_hash`` = xxhash64 of the text; nulls match nulls).
+
+    The names are sent to all executors only if they are at most ``few``; else both sides are shuffled.
+    """
+    gone = written(gone.select("id", "text_hash").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= few else gone
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & F.xxhash64(docs[text_col]).eqNullSafe(gone["text_hash"]), "left_anti")

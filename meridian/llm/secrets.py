@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from meridian.llm.frames import carried
 from meridian.llm.words import by_size
 
 SCAN_BYTES = 4 << 20
@@ -75,6 +76,14 @@ class RandomStrings:
 _TESTS: dict[tuple, RandomStrings] = {}
 
 
+def random_strings(vocabulary: str, pattern: str, limit: float) -> RandomStrings:
+    """The test for a vocabulary, built once per process."""
+    key = (vocabulary, pattern, limit)
+    if key not in _TESTS:
+        _TESTS[key] = RandomStrings(*key)
+    return _TESTS[key]
+
+
 def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), limit: float = 2.0, redact: str | None = None) -> DataFrame:
     """One row per document: ``id_col``, the columns of ``keep`` and ``spans`` (kind, start, end in code points; by start, then kind).
 
@@ -82,22 +91,19 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     ``redacted`` holds the text with every maximal span replaced by that string. Null texts count as empty
     (their redaction is null); null, tied and repeated ids give a row each; an empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(text_col).alias("__text"), *[F.col(c) for c in (id_col, *keep)])
-    names = rows.columns[1:]
+    names = [id_col, *keep]
+    rows, text = carried(docs, text_col, tuple(names))
     types = [to_arrow_type(rows.schema[c].dataType) for c in names]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (vocabulary, pattern, limit)
-        if key not in _TESTS:
-            _TESTS[key] = RandomStrings(*key)
-        test = _TESTS[key]
-        for batch in by_size(batches, "__text", SCAN_BYTES):
-            texts = batch.column("__text").to_pylist()
+        test = random_strings(vocabulary, pattern, limit)
+        for batch in by_size(batches, text, SCAN_BYTES):
+            texts = batch.column(text).to_pylist()
             found = []
-            for text in texts:
-                known = base_spans(text or "")
-                found.append(sorted(known + test.spans(text or "", known)))
+            for whole in texts:
+                known = base_spans(whole or "")
+                found.append(sorted(known + test.spans(whole or "", known)))
             columns = [*(batch.column(c).cast(t) for c, t in zip(names, types)), pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in found], span)]
             if redact is not None:
                 columns.append(pa.array([t if not spans else cover(t, spans, redact) for t, spans in zip(texts, found)], pa.string()))

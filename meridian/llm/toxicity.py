@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from meridian.llm.frames import carried
 from meridian.llm.words import ALNUM, LOWER, by_size, mix, scan, text_buffer
 
 BITS = 18
@@ -142,13 +143,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     gives an empty result; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("__text"), *[F.col(c) for c in (id_col, *keep)])
-    names = rows.columns[1:]
+    names = [id_col, *keep]
+    rows, text = carried(docs, text_col, tuple(names))
     types = [to_arrow_type(rows.schema[c].dataType) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, "__text", SCAN_BYTES):
-            p = 1 / (1 + np.exp(-np.clip(margins(sent.value, *features(batch.column("__text"))), -500, 500)))
+        for batch in by_size(batches, text, SCAN_BYTES):
+            p = 1 / (1 + np.exp(-np.clip(margins(sent.value, *features(batch.column(text))), -500, 500)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(t) for c, t in zip(names, types)), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
