@@ -20,6 +20,7 @@ Layout, all integers little-endian:
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,17 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meridian.llm.bpe import Cache
 from meridian.llm.frames import text_bytes, written
-from meridian.llm.words import by_size
+from meridian.llm.words import by_size, byte_table, scan, text_buffer
 
-LANES, STEPS, SCALE = 256, 1024, 20
+LANES, STEPS, SCALE = 2048, 256, 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"MTS1"
-FILE_BYTES = 8 << 20
-RANGE_BYTES = 6 << 20
-TASK_RANGES = 4
-CACHE_PARTS = 250_000
+FILE_BYTES = 4 << 20
+RANGE_BYTES = 3 << 20
+TASK_RANGES = 8
+CACHE_PARTS = 1_500_000
+BATCH_PARTS = 4096
 
 
 class FileError(ValueError):
@@ -49,7 +50,9 @@ class FileError(ValueError):
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols in use and frequencies of at least one that sum to 2**SCALE."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     if len(symbols) > 1 << (SCALE - 1):
         raise ValueError("too many symbols for the frequency table")
     scaled = np.maximum(1, counts * (1 << SCALE) // counts.sum())
@@ -126,7 +129,9 @@ def _decode_blocks(blocks: list[bytes], sizes: list[int], symbols: np.ndarray, f
 def pack(documents: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """One file: ``ids`` (unsigned 32 bits) of consecutive documents with these lengths."""
     symbols, frequency = _frequencies(ids) if len(ids) else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
-    blocks = _encode_blocks(np.searchsorted(symbols, ids), frequency)
+    rank = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, np.int64)
+    rank[symbols] = np.arange(len(symbols))
+    blocks = _encode_blocks(rank[ids], frequency)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", documents.type)])) as out:
         out.write_batch(pa.record_batch([documents], ["id"]))
@@ -179,54 +184,102 @@ class PartEncoder:
 
     A byte-level piece takes one space before it and never runs over a later one, so a text without
     neighbouring white space may be cut before each space. Other texts go to the library whole.
+    Parts are known by 64-bit hashes; they are forgotten when there are CACHE_PARTS of them.
     """
 
-    def __init__(self, path: str) -> None:
-        import re
+    #: Runs of anything but a space.
+    PART = byte_table(b" ")
+    HEAD = np.uint64(0xA0761D6478BD642F)  # marks a text's first part, which no space precedes
 
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.beside = re.compile(r" (?:\s|$)|\s ")
-        self.parts = Cache(CACHE_PARTS)
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.ascii_space, self.lead = np.zeros(256, bool), np.zeros(256, bool)
+        self.ascii_space[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+        self.lead[[0xE1, 0xE2, 0xE3]] = True  # of the three-byte characters that include white space
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for a in range(0, len(texts), 1024) for e in self.library.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of parts, most of them encoded together: line feeds between them stay tokens of their own."""
+        simple = [k for k, p in enumerate(parts) if p[:1] == " " and p.isprintable() and "<" not in p] if len(self.line) == 1 else []
+        out: list = [None] * len(parts)
+        for a in range(0, len(simple), BATCH_PARTS):
+            some = simple[a : a + BATCH_PARTS]
+            ids = self._whole(["\n".join([parts[k] for k in some])])[0]
+            cuts = np.flatnonzero(ids == self.line[0])
+            if len(cuts) == len(some) - 1:
+                for k, x, y in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                    out[k] = ids[x:y]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(rest, self._whole([parts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _uncut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts with a space beside white space or at the end, and perhaps a few others."""
+        near = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)])
+        at = np.flatnonzero(data == 32)
+        after, before = near[at + 4], near[at + 2]
+        odd = self.ascii_space[after] | self.lead[after] | (after == 0xC2) | self.ascii_space[before] | (near[at + 1] == 0xC2) | self.lead[near[at]]
+        end = np.zeros(len(data) + 1, bool)
+        end[offsets[1:]] = True
+        return np.unique(np.searchsorted(offsets, at[odd | end[at + 1]], "right") - 1)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and how many each text has."""
-        cut = []
-        for text in texts:
-            if self.beside.search(text):
-                cut.append([text])
-            else:
-                head, *rest = text.split(" ")
-                cut.append([head, *[" " + r for r in rest]] if head else [" " + r for r in rest])
-        local: dict[str, int] = {}
-        places = [[local.setdefault(p, len(local)) for p in parts] for parts in cut]
-        new = [p for p in local if self.parts.lacks(p)]
-        if new:
-            self.parts.turn()
-            fresh = {p: np.array(e.ids, np.uint32) for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-            self.parts.update((p, ids) for p, ids in fresh.items() if len(p) < 100)
-        else:
-            fresh = {}
-        found = [fresh[p] if p in fresh else self.parts[p] for p in local]
-        found.append(np.array([end], np.uint32))
-        sizes = np.array([len(x) for x in found], np.int64)
-        begins, flat = np.cumsum(sizes) - sizes, np.concatenate(found)
-        counts = np.array([len(p) + 1 for p in places], np.int64)
-        order = np.concatenate([np.array([*p, len(local)], np.int64) for p in places]) if places else np.zeros(0, np.int64)
-        lengths = sizes[order]
+        if len(self.known) > CACHE_PARTS:
+            self.forget()
+        data, offsets = text_buffer(texts)
+        whole = [int(d) for d in self._uncut(data, offsets) if self.beside.search(texts[int(d)].as_py())]
+        words = scan(data, offsets, self.PART)
+        head = np.zeros(len(data) + 1, bool)
+        head[offsets[:-1]] = True
+        key = np.where(head[words.starts], words.hashes ^ self.HEAD, words.hashes)
+        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        new = np.append(self.known, np.uint64(0))[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        new |= at == len(self.known)
+        if new.any():
+            raw, begin, stop = data.tobytes(), words.starts[first[new]], words.ends[first[new]]
+            found = self._parts([("" if h else " ") + raw[a:b].decode() for a, b, h in zip(begin.tolist(), stop.tolist(), head[begin].tolist())])
+            slots = len(self.ends) - 1 + np.arange(len(found))
+            self.known, self.slot = np.insert(self.known, at[new], distinct[new]), np.insert(self.slot, at[new], slots)
+            self.flat = np.concatenate([self.flat, *found])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        order = self.slot[np.searchsorted(self.known, distinct)][back]
+        lengths = self.ends[order + 1] - self.ends[order]
         starts = np.cumsum(lengths) - lengths
-        ids = flat[np.arange(int(lengths.sum())) - np.repeat(starts - begins[order], lengths)]
-        totals = np.concatenate([[0], np.cumsum(lengths)])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(totals[edges])
+        ids = self.flat[np.arange(int(lengths.sum())) - np.repeat(starts - self.ends[order], lengths)]
+        edges = np.concatenate([[0], np.cumsum(lengths)])[words.first]
+        parts = {d: x for d, x in zip(whole, self._whole([texts[d].as_py() for d in whole]))}
+        stop = np.array([end], np.uint32)
+        out = [x for d, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) for x in (parts[d] if d in parts else ids[a:b], stop)]
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(x) + 1 for x in out[::2]], np.int64)
 
 
 _ENCODERS: dict[str, PartEncoder] = {}
 
 
+def encoder(path: str) -> PartEncoder:
+    """The encoder of a tokenizer file, built once per process. (Tasks reach it by this function's name: a global that
+    a nested function uses itself would be copied anew for every task.)"""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PartEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token files of ``docs`` in ascending ``id_col`` order (nulls first, ties by a hash of the text): a written table of
     ``range`` and ``part`` (the files' order), ``n_docs``, ``n_ids`` and ``file`` (bytes).
@@ -243,9 +296,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = PartEncoder(tokenizer)
-        tool, held, size, now, part = _ENCODERS[tokenizer], [], 0, None, 0
+        tool, held, size, now, part = encoder(tokenizer), [], 0, None, 0
 
         def close() -> pa.RecordBatch:
             lengths = np.concatenate([x[2] for x in held])
@@ -253,7 +304,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
             file = pack(pa.concat_arrays([x[0] for x in held]), ids, lengths)
             return pa.RecordBatch.from_pydict({"range": pa.array([now], pa.int32()), "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(lengths)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "file": pa.array([file], pa.binary())})
 
-        for batch in by_size(batches, "text", FILE_BYTES // 4):
+        for batch in by_size(batches, "text", FILE_BYTES // 2):
             ranges = batch.column("range").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
@@ -263,7 +314,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
                     held, size, part = [], 0, part + 1
                 if int(ranges[a]) != now:
                     now, part = int(ranges[a]), 0
-                ids, lengths = tool.encode(some.column("text").to_pylist(), end_id)
+                ids, lengths = tool.encode(some.column("text"), end_id)
                 held.append((some.column("id").cast(kind), ids, lengths))
                 size += some.column("text").nbytes
         if held:
