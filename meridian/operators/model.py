@@ -27,7 +27,7 @@ def walk_forward(features: dict[str, DataFrame], label: DataFrame, train_years:
         parts.append(part.select("di", "date", "code", zscore(F.col(name)).alias(name)))
     cells = reduce(lambda a, b: a.join(b, ["di", "date", "code"]), parts).dropna(subset=names)
     y = label.select("di", "code", rank_pct(F.col("value")).alias("label"))
-    cells = VectorAssembler(inputCols=names, outputCol="x").transform(cells.join(y, ["di", "code"], "left")).select("di", "date", "code", "x", "label", F.year("date").alias("year")).persist()
+    cells = VectorAssembler(inputCols=names, outputCol="__features").transform(cells.join(y, ["di", "code"], "left")).select("di", "date", "code", "__features", "label", F.year("date").alias("year")).persist()
     days = label.select("di", F.year("date").alias("year")).distinct().collect()
     out = []
     for year in sorted({d["year"] for d in days}):
@@ -38,6 +38,6 @@ def walk_forward(features: dict[str, DataFrame], label: DataFrame, train_years:
         train = cells.where((F.col("di") >= past[0]) & (F.col("di") <= past[-1]) & F.col("label").isNotNull())
         if train.count() < min_rows:
             continue
-        model = GBTRegressor(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
+        model = GBTRegressor(featuresCol="__features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
         out.append(model.transform(cells.where(F.col("year") == year)).select("di", "date", "code", F.col("prediction").alias("value")))
     return reduce(DataFrame.unionByName, out) if out else cells.limit(0).select("di", "date", "code", F.lit(None).cast("double").alias("value"))
