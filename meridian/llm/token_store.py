@@ -27,10 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from meridian.llm.bpe import byte_alphabet
 from meridian.llm.frames import text_bytes, written
 from meridian.llm.words import by_size, byte_table, scan, text_buffer
 
@@ -42,6 +45,7 @@ RANGE_BYTES = 3 << 20
 TASK_RANGES = 8
 CACHE_PARTS = 1_500_000
 BATCH_PARTS = 4096
+BREAK = "\v"  # between parts that are cut together
 
 
 class FileError(ValueError):
@@ -189,6 +193,9 @@ class PartEncoder:
 
     #: Runs of anything but a space.
     PART = byte_table(b" ")
+    #: The byte-level pieces of texts below U+0250; the second for ASCII.
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
     HEAD = np.uint64(0xA0761D6478BD642F)  # marks a text's first part, which no space precedes
 
     def __init__(self, path: str) -> None:
@@ -201,7 +208,11 @@ class PartEncoder:
         self.ascii_space, self.lead = np.zeros(256, bool), np.zeros(256, bool)
         self.ascii_space[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
         self.lead[[0xE1, 0xE2, 0xE3]] = True  # of the three-byte characters that include white space
-        self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.merger = Tokenizer(self.library.model)  # the same merges, on pieces that are cut already
+        self.letters = {b: c for b, c in enumerate(byte_alphabet())}
+        self.sizes = np.zeros(max(self.library.get_vocab().values()) + 1, np.int64)
+        for token, k in self.library.get_vocab().items():
+            self.sizes[k] = len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -211,21 +222,44 @@ class PartEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for a in range(0, len(texts), 1024) for e in self.library.encode_batch_fast(texts[a : a + 1024], add_special_tokens=False)]
 
-    def _parts(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of parts, most of them encoded together: line feeds between them stay tokens of their own."""
-        simple = [k for k, p in enumerate(parts) if p[:1] == " " and p.isprintable() and "<" not in p] if len(self.line) == 1 else []
-        out: list = [None] * len(parts)
-        for a in range(0, len(simple), BATCH_PARTS):
-            some = simple[a : a + BATCH_PARTS]
-            ids = self._whole(["\n".join([parts[k] for k in some])])[0]
-            cuts = np.flatnonzero(ids == self.line[0])
-            if len(cuts) == len(some) - 1:
-                for k, x, y in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                    out[k] = ids[x:y]
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(rest, self._whole([parts[k] for k in rest])):
-            out[k] = ids
-        return out
+    def _plain(self, text: str) -> bool:
+        """Whether the patterns cut a part, or several with BREAK around each, as the library does, and no special token is in it."""
+        return text.replace(BREAK, "").replace("\n", "").isprintable() and "<" not in text and "\n" + BREAK not in text and BREAK + "\n" not in text and max(text) < "\u0250"
+
+    def _cut(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain parts: cut into pieces by the file's pattern here; the library merges the distinct pieces."""
+        text = " " + (BREAK + " ").join(parts)
+        pieces = (self.ASCII if text.isascii() else self.PIECE).findall(text)
+        number: dict[str, int] = {}
+        order = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
+        line = order == number.get(BREAK, -1)
+        words = "\0".join(number).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        ids = np.array(self.merger.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        # a piece's ids end where their letters fill it
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(list(map(len, words)))) + 1
+        first = np.concatenate([[0], ends[:-1]])
+        lengths = np.where(line, 0, (ends - first)[order])
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        flat = ids[np.arange(total[-1]) - np.repeat(total[:-1] - first[order], lengths)]
+        return flat, np.diff(np.concatenate([[0], total[np.flatnonzero(line)], [total[-1]]]))
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that follow a space, and how many each has."""
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(parts), BATCH_PARTS):
+            some = parts[a : a + BATCH_PARTS]
+            joined = BREAK.join(["", *some, ""])
+            plain = [True] * len(some) if self._plain(joined) and joined.count(BREAK) == len(some) + 1 else [self._plain(BREAK + p + BREAK) and BREAK not in p for p in some]
+            if all(plain):
+                ids, sizes = self._cut(some)
+            else:
+                ids, sizes = self._cut([p for p, ok in zip(some, plain) if ok]) if any(plain) else (flat[0], lengths[0])
+                cut, whole = iter(np.split(ids, np.cumsum(sizes)[:-1])), iter(self._whole([" " + p for p, ok in zip(some, plain) if not ok]))
+                each = [next(cut) if ok else next(whole) for ok in plain]
+                ids, sizes = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            flat.append(ids)
+            lengths.append(sizes)
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def _uncut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The texts with a space beside white space or at the end, and perhaps a few others."""
@@ -243,6 +277,10 @@ class PartEncoder:
             self.forget()
         data, offsets = text_buffer(texts)
         whole = [int(d) for d in self._uncut(data, offsets) if self.beside.search(texts[int(d)].as_py())]
+        if whole:  # their parts are not asked for
+            mask = np.zeros(len(texts), bool)
+            mask[whole] = True
+            data, offsets = text_buffer(pc.if_else(pa.array(mask), "", texts))
         words = scan(data, offsets, self.PART)
         head = np.zeros(len(data) + 1, bool)
         head[offsets[:-1]] = True
@@ -253,11 +291,15 @@ class PartEncoder:
         new |= at == len(self.known)
         if new.any():
             raw, begin, stop = data.tobytes(), words.starts[first[new]], words.ends[first[new]]
-            found = self._parts([("" if h else " ") + raw[a:b].decode() for a, b, h in zip(begin.tolist(), stop.tolist(), head[begin].tolist())])
-            slots = len(self.ends) - 1 + np.arange(len(found))
-            self.known, self.slot = np.insert(self.known, at[new], distinct[new]), np.insert(self.slot, at[new], slots)
-            self.flat = np.concatenate([self.flat, *found])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+            first_part = head[begin]
+            whole_heads = self._whole([raw[a:b].decode() for a, b in zip(begin[first_part].tolist(), stop[first_part].tolist())])
+            flat, sizes = self._parts([raw[a:b].decode() for a, b in zip(begin[~first_part].tolist(), stop[~first_part].tolist())])
+            sizes = np.concatenate([sizes, np.array([len(x) for x in whole_heads], np.int64)])
+            place = np.empty(len(begin), np.int64)  # parts after a space come first
+            place[~first_part], place[first_part] = np.split(np.arange(len(begin)), [len(begin) - len(whole_heads)])
+            self.known, self.slot = np.insert(self.known, at[new], distinct[new]), np.insert(self.slot, at[new], len(self.ends) - 1 + place)
+            self.flat = np.concatenate([self.flat, flat, *whole_heads])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         order = self.slot[np.searchsorted(self.known, distinct)][back]
         lengths = self.ends[order + 1] - self.ends[order]
         starts = np.cumsum(lengths) - lengths
