@@ -30,10 +30,6 @@ def text_bytes(docs: DataFrame, column: str) -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("n")).first()["n"])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
     """Rows sorted by an integer ``column``, in tables that never split one of its values."""
     held: list[pa.RecordBatch] = []
