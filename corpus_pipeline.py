@@ -17,9 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import bpe, decontaminate, ngram_join, secrets, toxicity
-from meridian.llm.frames import written
+from meridian.llm.frames import BATCH_BYTES, written
 
 SECRET = "[SECRET]"
+ARROW_BYTES = 8 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Arrow batches of whole rows are bounded by bytes, not only by rows, for this session: the stages' results are computed later."""
+    spark.conf.set(BATCH_BYTES, str(ARROW_BYTES))
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -30,6 +36,7 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (trained on ``labels``, without its held-out fold) does not reject."""
+    _bounded(spark)
     plain, names = _plain(docs)
     kept = toxicity.score(plain, toxicity.trained(spark, docs, sf_dir), keep=("text", *names)).where("predicted = 0")
     return kept.drop("score", "predicted").withColumnsRenamed(names).select(docs.columns)
@@ -37,16 +44,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of at least 80 per cent of five-word shingles connect: the smallest id."""
+    _bounded(spark)
     return ngram_join.keep_one(docs, n=5, percent=80).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of ``benchmark``."""
+    _bounded(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced and ``n_chars`` counted anew where the text changed."""
+    _bounded(spark)
     plain, names = _plain(docs)
     found = secrets.find_secrets(plain, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("text", *names), redact=SECRET)
     size = next(new for new, old in names.items() if old == "n_chars")
@@ -57,6 +67,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit integers), their number, and a digest of the decoding."""
+    _bounded(spark)
     docs = docs.select("doc_id", "text", "lang", "source")
     out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"))
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
