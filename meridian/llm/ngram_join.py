@@ -1,21 +1,23 @@
 """N-gram Jaccard join by prefix trees.
 
 A document's set holds its distinct word n-grams as 64-bit hashes; documents with equal sets form a
-class, and only classes are joined. All sets use one global order, rarest n-grams first (frequencies are
-those of a counting sketch over all documents), so two sets that link share one of their first
+class, and only classes are joined. All sets use one global order: rarest n-grams first, by the frequencies of their words in
+a counting sketch over all documents, then by hash. Two sets that link share one of their first
 ``n - ceil(t * n) + 1`` members.
 
 1. Each class sends those prefix members, packed by key range; keys of one class only end there. The
-   classes that share a key form a list; equal lists are kept once. Keys that the sketch expects in more
+   classes that share a key form a list; equal lists are kept once. Keys that a second sketch expects in more
    than ``CAP`` classes are dealt into tiles, so that each pair of classes still meets in one tile and no
    list grows with the data.
-2. Lists lose the pairs that length or a histogram of the n-gram hashes excludes (both are upper bounds
+2. Lists lose the pairs that size or a histogram of the n-gram hashes excludes (both are upper bounds
    of the overlap, so no link is lost). Most lists end here.
-3. Stars: in each list, the smallest candidate is joined with its neighbours. This connects groups of
-   near copies in linear work. Lists whose members are all connected by then are done.
-4. The other lists store their sets in a trie. All members walk it level by level; sets with a common
-   beginning share partial overlaps, and a subtree is left when its overlap so far plus the shorter
-   remainder can't reach the needed overlap. Pairs of one component are left out.
+3. Stars: in each list, the smallest candidate is paired with its neighbours, which connects groups of
+   near copies in linear work. Pairs that a finer histogram leaves are joined by prefix trees: a centre's neighbours stand in a trie
+   in the global order, the centre walks it, sets with a common beginning share partial overlaps, and a subtree is
+   left when its overlap so far plus the shorter remainder can't reach the needed overlap.
+4. In lists whose members are not all connected by then, spanning forests of the pairs of different components that the finer
+   histogram leaves connect families. A family's sets stand in one trie that all of them walk, together; found links
+   connect at once, and what is connected is not compared. Families of over ``FAMILY`` classes go pair by pair instead.
 
 Links are exact overlaps of hashed sets. Classes have 64-bit names: of n classes two share a name with a
 chance of about n*n / 2**65.
@@ -32,43 +34,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from meridian.llm.components import components
-from meridian.llm.frames import text_bytes, whole_groups, written
+from meridian.llm.frames import small_batches, text_bytes, whole_groups, without, written
 from meridian.llm.words import LOWER, SPACED, by_size, mix, rolling, scan, text_buffer
 
-SLOTS = 1 << 18
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 CHUNK = 1 << 14
+HASH = np.uint64((1 << 58) - 1)
 CAP = 2000
-SCAN_BYTES = 4 << 20
-BUCKET_BYTES = 24 << 20
+FEW = 100_000
+FAMILY = 4000
+SCAN_BYTES = 1 << 20
+BUCKET_BYTES = 16 << 20
 
 
-def gram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """Each text's distinct n-gram hashes, sorted; a text of fewer words has its word sequence as the only one."""
+def gram_sets(texts: pa.Array, n: int, weights: np.ndarray | None = None, seen: np.ndarray | None = None) -> list[np.ndarray]:
+    """Each text's distinct n-grams, ascending; a text of fewer words has its word sequence as the only one.
+
+    A member is a frequency level (six bits, from the summed ``weights`` of the words' sketch slots; zero without them) and 58 bits of hash. ``seen`` counts words.
+    """
     data, offsets = text_buffer(texts)
     words = scan(data, offsets, SPACED, LOWER)
-    grams, out = rolling(words.hashes, n), []
+    slots = (words.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    if seen is not None:
+        seen += np.bincount(slots, minlength=SLOTS)
+    grams, out = rolling(words.hashes, n) >> np.uint64(6), []
+    if weights is not None and len(grams):
+        total = np.concatenate([[0.0], np.cumsum(weights[slots])])
+        grams |= np.clip(total[n:] - total[:-n], 0, 63).astype(np.uint64) << np.uint64(58)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            out.append(mix(rolling(words.hashes[a:b], b - a) + np.uint64(b - a)))
+            out.append(mix(rolling(words.hashes[a:b], b - a) + np.uint64(b - a)) >> np.uint64(6))
         else:
             out.append(grams[:0])
     return out
 
 
+def word_weights(counts: np.ndarray, n: int) -> np.ndarray:
+    """Per slot, the part that a word adds to an n-gram's level: rare words nothing, the most frequent 63 / n."""
+    low, high = np.log2(counts.mean() / 4 + 1), np.log2(counts.max() + 2)
+    return np.maximum(0.0, (np.log2(counts + 1.0) - low) / max(1e-9, high - low)) * (63 / n)
+
+
 def class_name(grams: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    total = mix(grams + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True)
+    """A signed 64-bit name of a set; levels don't count."""
+    total = mix((grams & HASH) + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True)
     return int(mix(total + np.uint64(len(grams))).view(np.int64)[0])
 
 
-def histogram(grams: np.ndarray) -> bytes:
-    """Members by hash range: more ranges for larger sets; none where a count may not fit."""
-    bits = 6 if len(grams) < 1500 else 8 if len(grams) < 6000 else 10
-    if len(grams) > 4_000_000:
-        return b""
-    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+def histogram(grams: np.ndarray, bits: int | None = None) -> bytes:
+    """Members by hash range, a byte each: more ranges for larger sets; none where a count does not fit."""
+    if bits is None:
+        bits = 6 if len(grams) < 1500 else 8 if len(grams) < 6000 else 10
+    counts = np.bincount(((grams & HASH) >> np.uint64(58 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if int(counts.max()) < 256 else b""
+
+
+def fine_histogram(grams: np.ndarray) -> bytes:
+    """A histogram of about as many ranges as half the members."""
+    return histogram(grams, min(20, max(6, (len(grams) // 2).bit_length())))
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray | int, percent: int) -> np.ndarray:
@@ -76,11 +102,6 @@ def least_overlap(a: np.ndarray, b: np.ndarray | int, percent: int) -> np.ndarra
     return -(-percent * (a + b) // (100 + percent))
 
 
-def ordered(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A set in the global order: frequency level, then hash."""
-    return np.sort((level[(grams & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6)))
-
-
 class Trie:
     """Globally ordered sets as a prefix tree, walked by many probes at once."""
 
@@ -88,21 +109,26 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        codes, flat = np.unique(np.concatenate(sets), return_inverse=True)  # keeps the global order
+        codes, flat, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)  # keeps the global order
         starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.n_codes, self.codes = len(codes), [flat[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        # a code of one set is in no overlap: the tree holds the others, the sizes count all
+        shared = seen > 1
+        rank = np.cumsum(shared) - 1
+        parts = (flat[a:b] for a, b in zip(starts[:-1], starts[1:]))
+        self.n_codes, self.codes = int(shared.sum()), [rank[p[shared[p]]] for p in parts]
+        self.held = np.array([len(c) for c in self.codes], np.int64)
         #: (path, depth at its end, members that end there, members below, children)
         self.nodes: list[tuple[np.ndarray, int, np.ndarray, np.ndarray, list[int]]] = []
         todo: list[tuple[np.ndarray, int, int]] = [(np.arange(len(sets)), 0, -1)]
         while todo:
             members, depth, above = todo.pop()
-            first, agree = self.codes[members[0]], int(self.sizes[members].min())
+            first, agree = self.codes[members[0]], int(self.held[members].min())
             for m in members[1:]:
                 differ = np.flatnonzero(self.codes[m][depth:agree] != first[depth:agree])
                 if len(differ):
                     agree = depth + int(differ[0])
-            rest = members[self.sizes[members] > agree]
-            self.nodes.append((first[depth:agree], agree, members[self.sizes[members] == agree], members, []))
+            rest = members[self.held[members] > agree]
+            self.nodes.append((first[depth:agree], agree, members[self.held[members] == agree], members, []))
             if above >= 0:
                 self.nodes[above][4].append(len(self.nodes) - 1)
             heads = np.array([self.codes[m][agree] for m in rest], np.int64)
@@ -115,7 +141,7 @@ class Trie:
             inside = np.zeros((len(block), self.n_codes), bool)
             for r, p in enumerate(block):
                 inside[r, self.codes[p]] = True
-            passed, own = np.cumsum(inside, axis=1, dtype=np.int32), self.sizes[block]
+            passed, own, mine = np.cumsum(inside, axis=1, dtype=np.int32), self.sizes[block], self.held[block]
             stack = [(0, np.arange(len(block)), np.zeros(len(block), np.int64))]
             while stack:
                 node, rows, overlap = stack.pop()
@@ -123,9 +149,9 @@ class Trie:
                 if (label[members] == label[members[0]]).all():  # nothing new for probes of that component
                     on = label[block[rows]] != label[members[0]]
                     rows, overlap = rows[on], overlap[on]
-                low, high, at = int(self.sizes[members].min()), int(self.sizes[members].max()), depth - len(path)
+                low, high, at = int(self.sizes[members].min()), int(self.held[members].max()), depth - len(path)
                 for a in range(0, max(len(path), 1), self.STEP):
-                    step, left = path[a : a + self.STEP], own[rows]
+                    step, left = path[a : a + self.STEP], mine[rows]
                     if len(step):
                         overlap = overlap + inside[np.ix_(rows, step)].sum(1)
                         left = left - passed[rows, step[-1]]
@@ -145,25 +171,25 @@ class Trie:
         return found
 
 
-def _survey(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, np.ndarray]:
-    """Every document's set size, class and histogram, and the frequency level of every sketch slot."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _survey(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Every document's set size, class and histogram; how often each sketch slot has a word, and an n-gram."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     id_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
+        seen = np.zeros(2 * SLOTS, np.int64)
         for batch in by_size(batches, "text", SCAN_BYTES):
-            sets = gram_sets(batch.column("text"), n)
+            sets = gram_sets(batch.column("text"), n, seen=seen[:SLOTS])
             if any(map(len, sets)):
-                seen += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                seen[SLOTS:] += np.bincount((np.concatenate(sets) >> np.uint64(58 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
             yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id").cast(id_type), "n": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array([class_name(s) if len(s) else None for s in sets], pa.int64()),
+                "id": batch.column("id").cast(id_type), "text_hash": batch.column("text_hash"), "n": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array([class_name(s) if len(s) else None for s in sets], pa.int64()),
                 "histogram": pa.array([histogram(s) if len(s) else None for s in sets], pa.binary()), "chunk": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary()),
             })
-        k = SLOTS // CHUNK
+        k = 2 * SLOTS // CHUNK
         if seen.any():
             yield pa.RecordBatch.from_pydict({
-                "id": pa.nulls(k, id_type), "n": pa.nulls(k, pa.int64()), "class": pa.nulls(k, pa.int64()), "histogram": pa.nulls(k, pa.binary()),
+                "id": pa.nulls(k, id_type), "text_hash": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "class": pa.nulls(k, pa.int64()), "histogram": pa.nulls(k, pa.binary()),
                 "chunk": pa.array(range(k), pa.int32()), "counts": pa.array([seen[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in range(k)], pa.binary()),
             })
 
@@ -173,18 +199,17 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFr
             total += np.frombuffer(x.as_buffer(), np.int64)
         return pa.table({"chunk": part.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = written(rows.mapInArrow(describe, f"id {docs.schema[id_col].dataType.simpleString()}, n long, class long, histogram binary, chunk int, counts binary"), "gram-sets")
+    found = written(rows.mapInArrow(describe, f"id {docs.schema[id_col].dataType.simpleString()}, text_hash long, n long, class long, histogram binary, chunk int, counts binary"), "gram-sets")
     parts = found.where("chunk IS NOT NULL").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("deal"))
     parts = parts.groupBy("chunk", "deal").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    counts = np.zeros(SLOTS, np.int64)
-    for row in parts.collect():  # SLOTS counters, whatever the input
+    counts = np.zeros(2 * SLOTS, np.int64)
+    for row in parts.collect():  # two sketches of SLOTS counters, whatever the input
         counts[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
-    return found.where("chunk IS NULL").drop("chunk", "counts"), counts
+    return found.where("chunk IS NULL").drop("chunk", "counts"), counts[:SLOTS], counts[SLOTS:]
 
 
-def _lists(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
+def _lists(docs: DataFrame, text_col: str, n: int, percent: int, weights: np.ndarray, counts: np.ndarray) -> DataFrame:
     """Lists of classes that share a prefix member: ``list`` (a name), ``class``, one row per member."""
-    level = np.minimum(63, np.floor(2 * np.log2(counts + 1.0))).astype(np.uint8)
     usual = float(counts.mean())
     tiles = np.maximum(1, np.ceil((counts - usual - 6 * np.sqrt(usual)) / CAP)).astype(np.int64)
     n_buckets = max(1, -(-text_bytes(docs, text_col) // BUCKET_BYTES))
@@ -193,15 +218,13 @@ def _lists(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.ndar
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", SCAN_BYTES):
             keys, names, seen = [], [], set()
-            for grams in gram_sets(batch.column("text"), n):
+            for grams in gram_sets(batch.column("text"), n, weights):
                 name = class_name(grams) if len(grams) else None
                 if name is None or name in seen:
                     continue
                 seen.add(name)
-                prefix = ordered(grams, level)[: len(grams) - -(-percent * len(grams) // 100) + 1]
-                slots = ((prefix << np.uint64(6)) & np.uint64(SLOTS - 1)).astype(np.int64)
-                # the lowest six bits of a hash are not in its code: the widest of the slots they could mean
-                wide = tiles_of[slots >> 6]
+                prefix = grams[: len(grams) - -(-percent * len(grams) // 100) + 1]
+                wide = tiles[((prefix & HASH) >> np.uint64(58 - SLOT_BITS)).astype(np.int64)]
                 mine = mix(prefix)
                 if (wide > 1).any():
                     parts = [mine[wide == 1]]
@@ -221,8 +244,6 @@ def _lists(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.ndar
             full = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "keys": pa.array([key[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), "names": pa.array([name[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
 
-    tiles_of = tiles.reshape(-1, 64).max(1)
-
     def group(bucket: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("keys")])
         name = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in bucket.column("names")])
@@ -247,10 +268,10 @@ def _lists(docs: DataFrame, text_col: str, n: int, percent: int, counts: np.ndar
 def _ranges(raw: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Histograms folded to k ranges, and which rows have that many."""
     out, have = np.zeros((len(raw), k), np.int32), np.zeros(len(raw), bool)
-    lengths = np.array([len(x) // 2 for x in raw])
+    lengths = np.array([len(x) for x in raw])
     for length in np.unique(lengths[lengths >= k]):
         at = np.flatnonzero(lengths == length)
-        out[at] = np.frombuffer(b"".join(raw[i] for i in at), np.uint16).reshape(len(at), k, -1).sum(2, dtype=np.int32)
+        out[at] = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), k, -1).sum(2, dtype=np.int32)
         have[at] = True
     return out, have
 
@@ -296,61 +317,166 @@ def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return sorted_lists.mapInArrow(judge, "list long, class long, centre long").distinct()
 
 
-def _sequences(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame, level_counts: np.ndarray) -> DataFrame:
-    """The ordered sets of the wanted classes (``class``, ``id`` of one document of each)."""
-    level = np.minimum(63, np.floor(2 * np.log2(level_counts + 1.0))).astype(np.uint8)
+def _sequences(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``class, n, fine, grams`` of the wanted classes (``class``, ``id`` of one document of each): the finer histogram and the ordered set."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", SCAN_BYTES):
             asked = batch.column("class").to_pylist()
-            sets = gram_sets(batch.column("text"), n)
+            sets = gram_sets(batch.column("text"), n, weights)
             keep = [k for k, s in enumerate(sets) if len(s) and class_name(s) == asked[k]]
-            yield pa.RecordBatch.from_pydict({"class": pa.array([asked[k] for k in keep], pa.int64()), "grams": pa.array([ordered(sets[k], level).tobytes() for k in keep], pa.binary())})
+            yield pa.RecordBatch.from_pydict({
+                "class": pa.array([asked[k] for k in keep], pa.int64()), "n": pa.array([len(sets[k]) for k in keep], pa.int64()),
+                "fine": pa.array([fine_histogram(sets[k]) for k in keep], pa.binary()), "grams": pa.array([sets[k].tobytes() for k in keep], pa.binary()),
+            })
 
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     rows = rows.join(wanted, rows["__id"].eqNullSafe(wanted["id"])).select("text", "class")
-    return rows.mapInArrow(order, "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
+    found = rows.mapInArrow(order, "class long, n long, fine binary, grams binary")
+    return found.groupBy("class").agg(F.first("n").alias("n"), F.first("fine").alias("fine"), F.first("grams").alias("grams"))
+
+
+def _bound(a: bytes, b: bytes) -> int:
+    """The largest overlap that two histograms allow; without one there is no bound."""
+    if not a or not b:
+        return np.iinfo(np.int64).max
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    k = min(len(x), len(y))
+    return int(np.minimum(*(z if len(z) == k else z.reshape(k, -1).sum(1) for z in (x, y))).sum())
 
 
-def _verify_stars(stars: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
-    """Links among (centre, class) pairs: the sets of a centre's members stand in a trie that the centre walks."""
+def _close(pairs: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``u, v``) whose finer histograms allow a link."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            keep = [_bound(p, q) >= least_overlap(i, j, percent) for p, q, i, j in zip(x, y, n, m)]
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(keep)), batch.column("v").filter(pa.array(keep))], ["u", "v"])
+
+    rows = pairs.join(sequences.select(F.col("class").alias("u"), F.col("n"), F.col("fine").alias("x")), "u")
+    rows = rows.join(sequences.select(F.col("class").alias("v"), F.col("n").alias("m"), F.col("fine").alias("y")), "v")
+    return rows.select("u", "v", "n", "m", "x", "y").mapInArrow(judge, "u long, v long")
+
+
+def _open_pairs(members: DataFrame, sequences: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of a list (``list, class, root``) in different components whose finer histograms allow a link.
+
+    All of them, or with ``forest`` only as many as would connect the list if all of them linked.
+    """
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "list"):
+            lists, names, roots, sizes = (rows.column(c).to_numpy() for c in ("list", "class", "root", "n"))
+            fine, u, v = rows.column("fine").to_pylist(), [], []
+            heads = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+            for a, b in zip(heads, np.append(heads[1:], len(lists))):
+                lengths = np.array([len(x) for x in fine[a:b]])  # they stand by size, so equal lengths stand together
+                tables = {k: (int(np.searchsorted(lengths, k)), np.frombuffer(b"".join(x for x in fine[a:b] if len(x) == k), np.uint8).reshape(-1, k)) for k in np.unique(lengths).tolist() if k} if (np.diff(lengths) >= 0).all() else {}
+                label = np.unique(roots[a:b], return_inverse=True)[1]
+                for i in range(a, b - 1):
+                    end = min(b, a + int(np.searchsorted(sizes[a:b], 100 * sizes[i] // percent, "right")))
+                    others = np.arange(i + 1, end)
+                    others = others[label[i + 1 - a : end - a] != label[i - a]]
+                    if not len(others):
+                        continue
+                    k = len(fine[i])
+                    need, top = least_overlap(sizes[others], int(sizes[i]), percent), np.full(len(others), -1, np.int64)
+                    if k in tables:
+                        same = lengths[others - a] == k
+                        start, table = tables[k]
+                        top[same] = np.minimum(table[i - a - start], table[others[same] - a - start]).sum(1)
+                    for p in np.flatnonzero(top < 0):
+                        top[p] = _bound(fine[i], fine[others[p]])
+                    others = others[top >= need]
+                    if forest and len(others):
+                        joined, first = np.unique(label[others - a], return_index=True)
+                        others = others[first]
+                        label[np.isin(label, joined)] = label[i - a]
+                    u.extend([names[i]] * len(others))
+                    v.extend(names[others])
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    rows = members.join(sequences.select("class", "n", "fine"), "class").select("list", "class", "root", "n", "fine")
+    return rows.repartition("list").sortWithinPartitions("list", "n", "class").mapInArrow(judge, "u long, v long").distinct()
+
+
+def _links(pairs: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``u, v``) that link: the sets of all v of one u stand in a trie that u's set walks."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[int, list[int]] = {}
             for k, c in enumerate(batch.column("u").to_pylist()):
                 by.setdefault(c, []).append(k)
-            members, grams, middle = batch.column("v").to_pylist(), batch.column("grams").to_pylist(), batch.column("middle").to_pylist()
+            members, grams, middle = batch.column("v").to_pylist(), batch.column("grams"), batch.column("middle")
             links = []
             for c, ks in by.items():
                 for a in range(0, len(ks), CAP):
                     some = ks[a : a + CAP]
-                    sets = [np.frombuffer(middle[some[0]], np.uint64)] + [np.frombuffer(grams[k], np.uint64) for k in some]
+                    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in (middle[some[0]], *(grams[k] for k in some))]
                     found = Trie(sets).links(np.array([0]), np.arange(len(sets)), percent)
                     links.extend((c, members[some[m - 1]]) for _, m in found if m)
             yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    rows = stars.join(sequences.withColumnRenamed("class", "v"), "v")
+    rows = pairs.join(sequences.select(F.col("class").alias("v"), "grams"), "v")
     rows = rows.join(sequences.select(F.col("class").alias("u"), F.col("grams").alias("middle")), "u")
     return rows.select("u", "v", "grams", "middle").mapInArrow(walk, "u long, v long")
 
 
-def _verify_lists(lists: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a list that are in different components so far (``list``, ``class``, ``root``)."""
+def _family_links(families: DataFrame, sequences: DataFrame, percent: int) -> DataFrame:
+    """Links that connect the components of each family (``family, class, root``): its sets stand in one trie that all of them walk."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, "list"):
-            lists, names, roots = (rows.column(c).to_numpy() for c in ("list", "class", "root"))
+        for rows in whole_groups(batches, "family"):
+            families, names, roots = (rows.column(c).to_numpy() for c in ("family", "class", "root"))
             grams, links = rows.column("grams"), []
-            heads = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
-            for a, b in zip(heads, np.append(heads[1:], len(lists))):
+            heads = np.flatnonzero(np.concatenate([[True], families[1:] != families[:-1]]))
+            for a, b in zip(heads, np.append(heads[1:], len(families))):
                 sets = [np.frombuffer(grams[int(k)].as_buffer(), np.uint64) for k in range(a, b)]
                 component = np.unique(roots[a:b], return_inverse=True)[1]
                 links.extend((names[a + x], names[a + y]) for x, y in Trie(sets).links(np.arange(b - a), component, percent))
             yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    rows = lists.join(sequences, "class").select("list", "class", "root", "grams").repartition("list").sortWithinPartitions("list", "class")
-    return rows.mapInArrow(walk, "u long, v long")
+    rows = families.join(sequences.select("class", "grams"), "class").select("family", "class", "root", "grams")
+    return rows.repartition("family").sortWithinPartitions("family", "class").mapInArrow(walk, "u long, v long")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """``id, text_hash, n, root`` of every document: equal roots mean that links connect them; null without a set."""
+    with small_batches(docs.sparkSession):
+        return written(_connected(docs, id_col, text_col, n, percent), "rooted")
+
+
+def _connected(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    described, word_counts, gram_counts = _survey(docs, id_col, text_col, n)
+    weights = word_weights(word_counts, n)
+    classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"), F.min("id").alias("id"))
+    lists = _lists(docs, text_col, n, percent, weights, gram_counts)
+    candidates = written(_candidates(lists, classes, percent), "candidates")
+    wanted = written(candidates.select("class").distinct().join(classes.select("class", "id"), "class"), "wanted")
+    sequences = written(_sequences(docs, id_col, text_col, n, wanted, weights), "sequences")
+    stars = candidates.where("centre IS NOT NULL").select(F.col("centre").alias("u"), F.col("class").alias("v")).distinct()
+    links = written(_links(written(_close(stars, sequences, percent), "star-pairs"), sequences, percent), "star-links")
+    roots = components(links)
+    members = candidates.select("list", "class").distinct().join(roots, F.col("class") == F.col("node"), "left").select("list", "class", F.coalesce("root", "class").alias("root"))
+    several = members.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("list")
+    members = members.join(several, "list")
+    forest = written(_open_pairs(members, sequences, percent, forest=True), "forest")
+    ends = forest.select(F.col("u").alias("class")).union(forest.select("v")).distinct()
+    ends = written(ends.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root")), "forest-ends")
+    # whatever may link across components is connected by the forests and the links so far
+    family = components(forest.union(ends.select("class", "root"))).select(F.col("node").alias("class"), F.col("root").alias("family"))
+    family = written(ends.join(family, "class"), "families")
+    large = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY).select("family")
+    more = _family_links(family.join(large, "family", "left_anti"), sequences, percent)
+    rest = members.join(family.join(large, "family", "left_semi").select("class"), "class", "left_semi")
+    more = written(more.union(_links(_open_pairs(rest, sequences, percent, forest=False), sequences, percent)), "more-links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    named = described.select("id", "text_hash", "n", "class").join(roots, F.col("class") == F.col("node"), "left")
+    return named.select("id", "text_hash", "n", F.coalesce("root", "class").alias("root"))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -362,25 +488,27 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with tied or repeated ids stay apart as rows; a null id is never the smallest unless a component has no other.
     An empty table gives an empty result; other columns are ignored.
     """
-    described, counts = _survey(docs, id_col, text_col, n)
-    classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"), F.min("id").alias("id"))
-    lists = _lists(docs, text_col, n, percent, counts)
-    candidates = written(_candidates(lists, classes, percent), "candidates")
-    wanted = candidates.select("class").distinct().join(classes.select("class", "id"), "class")
-    sequences = written(_sequences(docs, id_col, text_col, n, wanted, counts), "sequences")
-    stars = candidates.where("centre IS NOT NULL").select(F.col("centre").alias("u"), F.col("class").alias("v")).distinct()
-    links = written(_verify_stars(stars, sequences, percent), "star-links")
-    roots = components(links)
-    members = candidates.select("list", "class").distinct().join(roots, F.col("class") == F.col("node"), "left").select("list", "class", F.coalesce("root", "class").alias("root"))
-    open_lists = members.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("list")
-    more = written(_verify_lists(members.join(open_lists, "list"), sequences, percent), "more-links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    named = classes.select("class", "id").join(roots, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("root", "class").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "root").select("class", "component_id")
-    out = described.select("id", "n", "class").join(named, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    rooted = _rooted(docs, id_col, text_col, n, percent)
+    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
+    out = rooted.join(smallest, "root", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id (nulls last), then of the smallest text hash.
+
+    Texts without words all stay. Of rows that agree in id and text one stays. All columns are kept.
+    """
+    rooted = _rooted(docs, id_col, text_col, n, percent).where("root IS NOT NULL")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
+    losers = rooted.join(best, "root").where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))))
+    kept = without(docs, losers, id_col, text_col)
+    if rooted.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    once = kept.where(worded).withColumn("__hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__hash"]).drop("__hash")
+    return once.unionByName(kept.where(~worded))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
