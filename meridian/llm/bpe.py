@@ -28,8 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from meridian.llm.frames import carried
 from meridian.llm.words import by_size
 
-SCAN_BYTES = 2 << 20
-CACHE_WORDS = 400_000
+SCAN_BYTES = 1 << 20
+CACHE_WORDS = 120_000
 NONE = np.iinfo(np.int64).max
 
 

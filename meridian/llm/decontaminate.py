@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from meridian.llm.frames import without, written
 from meridian.llm.words import ALNUM, LOWER, by_size, scan, text_buffer
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 8 << 20
 GAP = 64
 INDEX = "ids {ids}, text_hashes binary, n_words binary, firsts binary, terms binary, counts binary, steps binary"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridian.llm.words import give_back
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
@@ -25,6 +28,23 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of at most about ``size`` bytes for the actions inside: rows that carry whole sets are large."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
+
+
 def text_bytes(docs: DataFrame, column: str) -> int:
     """Bytes of all texts of a column."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("n")).first()["n"])
@@ -46,6 +66,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    give_back()
 
 
 def carried(docs: DataFrame, text_col: str, columns: tuple[str, ...]) -> tuple[DataFrame, str]:

@@ -8,6 +8,8 @@ works in bounded pieces, so the temporary arrays do not grow with a text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -176,6 +178,13 @@ def whole_runs(first: np.ndarray, k: int, n_words: int) -> np.ndarray:
     return ok
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, beside an executor with memory needs of its own."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold at most ``limit`` bytes; a longer text comes alone."""
     for batch in batches:
@@ -187,3 +196,4 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
             b = max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    give_back()
