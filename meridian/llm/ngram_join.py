@@ -16,8 +16,8 @@ a counting sketch over all documents, then by hash. Two sets that link share one
    in the global order, the centre walks it, sets with a common beginning share partial overlaps, and a subtree is
    left when its overlap so far plus the shorter remainder can't reach the needed overlap.
 4. In lists whose members are not all connected by then, spanning forests of the pairs of different components that the finer
-   histogram leaves connect families. A family's sets stand in one trie that all of them walk, together; found links
-   connect at once, and what is connected is not compared. Families of over ``FAMILY`` classes go pair by pair instead.
+   histogram leaves connect components to families. All members of such lists in a family's components stand in one trie that all of them
+   walk, together; found links connect at once, and what is connected is not compared. Families of over ``FAMILY`` classes go pair by pair instead.
 
 Links are exact overlaps of hashed sets. Classes have 64-bit names: of n classes two share a name with a
 chance of about n*n / 2**65.
@@ -466,9 +466,10 @@ def _connected(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     forest = written(_open_pairs(members, sequences, percent, forest=True), "forest")
     ends = forest.select(F.col("u").alias("class")).union(forest.select("v")).distinct()
     ends = written(ends.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root")), "forest-ends")
-    # whatever may link across components is connected by the forests and the links so far
-    family = components(forest.union(ends.select("class", "root"))).select(F.col("node").alias("class"), F.col("root").alias("family"))
-    family = written(ends.join(family, "class"), "families")
+    # whatever may link across components is connected by the forests and the links so far; a forest leaves out pairs of what it
+    # has joined, so not only its ends but every open member of a component that it reaches walks
+    family = components(forest.union(ends.select("class", "root"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    family = written(members.select("class", "root").distinct().join(family, "root").select("class", "root", "family"), "families")
     large = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY).select("family")
     more = _family_links(family.join(large, "family", "left_anti"), sequences, percent)
     rest = members.join(family.join(large, "family", "left_semi").select("class"), "class", "left_semi")

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on awkward rows: nulls, empties, long texts, ties, repeated rows, clashing names, empty tables."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -78,6 +79,23 @@ def test_ngram_join(awkward, empty, monkeypatch, n, percent, cap):
     assert ngram_join.link_components(empty).collect() == []
 
 
+@pytest.mark.parametrize("family", [4000])
+def test_ngram_join_chains(spark, monkeypatch, family):
+    """Two edits of one text link with it, but with each other only above a length: one star doesn't find both links."""
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
+    rng, docs = random.Random(3), []
+    for first in range(0, 450, 3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 122))]
+        edits = [list(base), list(base)]
+        for e, at in zip(edits, (rng.randint(3, 45), rng.randint(50, 95))):
+            e[at] = f"new{rng.randrange(10**6)}"
+        docs.extend((first + k, " ".join(t)) for k, t in enumerate(rng.sample([base, *edits], 3)))
+    _, roots = linked(docs, 3, 90)
+    expected = [(d, min(j for j in range(len(docs)) if roots[j] == roots[d])) for d, _ in docs]
+    found = ngram_join.link_components(spark.createDataFrame(docs, "doc_id long, text string"), n=3, percent=90).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == expected
+
+
 def test_keep_one(awkward, empty):
     docs = pairs(awkward)
     sets, roots = linked(docs, 5, 80)
