@@ -79,7 +79,7 @@ def test_ngram_join(awkward, empty, monkeypatch, n, percent, cap):
     assert ngram_join.link_components(empty).collect() == []
 
 
-@pytest.mark.parametrize("family", [4000])
+@pytest.mark.parametrize("family", [4000, 0])
 def test_ngram_join_chains(spark, monkeypatch, family):
     """Two edits of one text link with it, but with each other only above a length: one star doesn't find both links."""
     monkeypatch.setattr(ngram_join, "FAMILY", family)
