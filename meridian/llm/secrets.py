@@ -3,7 +3,8 @@
 A tokenizer's vocabulary covers words and common fragments, so random strings take
 many tokens for their length. A candidate (a run of key characters with letters and
 digits) whose characters per token fall below a limit is reported, unless it is a
-digest of a known length, a UUID, a plain number or a lower-case identifier, or lies in a pattern's span.
+digest of a known length, a UUID, a plain number or a lower-case identifier, or lies in a pattern's span. Of a candidate
+that patterns' spans cover in part, each uncovered piece is tested; a word that a span cuts and that has no such piece is tested whole.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+WORD = re.compile(r"[A-Za-z0-9]+")
 IDENTIFIER = re.compile(r"[a-z0-9]+([-_/][a-z0-9]+)*/?|[A-Z0-9]+(_[A-Z0-9]+)+|[0-9+/=_-]+|(.)\2*")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
@@ -68,8 +70,22 @@ class RandomStrings:
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         found = []
         for m in CANDIDATE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in known) and self.random(m[0]):
-                found.append((m.start(), 3, m.end()))
+            inside = [(a, b) for a, _, b in known if a < m.end() and m.start() < b]
+            if not inside:
+                if self.random(m[0]):
+                    found.append((m.start(), 3, m.end()))
+                continue
+            pieces, at = [], m.start()
+            for a, b in [*inside, (m.end(), m.end())]:
+                if at < a:
+                    pieces.append((at, a))
+                at = max(at, b)
+            parts = [(a, 3, b) for a, b in pieces if self.random(text[a:b])]
+            if pieces:
+                cut = [w.span() for w in WORD.finditer(text, m.start(), m.end())]
+                cut = [(c, d) for c, d in cut if any(a < d and c < b and (c < a or b < d) for a, b in pieces) and not any(a < d and c < b for a, _, b in parts)]
+                parts.extend((c, 3, d) for c, d in cut if self.random(text[c:d]))
+            found.extend(parts)
         return found
 
 

@@ -200,6 +200,23 @@ def test_secret_spans(text, spans):
     assert [(secrets.KINDS[k], a, b) for a, k, b in sorted(known + test.spans(text, known))] == spans
 
 
+KEY = "kJ8vQz3LmX9pRt2WcY7bNf5HkD4sGw6ZxV1qTjBn"
+
+
+@pytest.mark.parametrize(("text", "spans"), [
+    ("AKIA" + "QWERTYUIOPASDFGH" + "/" + KEY, [("access", 0, 20), ("random", 20, 61)]), ("0123456789abcdef01234567" + KEY, [("hex", 0, 24), ("random", 24, 64)]),
+    (KEY + "/AKIA" + "QWERTYUIOPASDFGH", [("random", 0, 41), ("access", 41, 61)]), ("9f86d081884c7d659a2feaa0" + KEY[:15], [("hex", 0, 24), ("random", 0, 39)]),
+    ("commit/9f86d081884c7d659a2feaa0c55ad015", [("hex", 7, 39)]), ("my_token=" + KEY, [("assign", 3, 49)]),
+])
+def test_secret_remainders(text, spans):
+    """What a pattern's span leaves of a candidate is tested too."""
+    test = secrets.random_strings(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2.0)
+    known = secrets.base_spans(text)
+    found = sorted(known + test.spans(text, known))
+    assert sorted((secrets.KINDS[k], a, b) for a, k, b in found) == sorted(spans)
+    assert KEY[:15] not in secrets.cover(text, found, "[SECRET]")
+
+
 ODD = ["<|startoftext|>Hi<|endoftext|> x<|endoftext|>", "ΑΣΣΟΣ Σ", "I'LL don't İstanbul é ﬁ Å 12345 ½²", "日本語 😀👍🏽 a b\u0085d\x1cx\x00y", "x" * 3000, "!" * 900, "<|ENDOFTEXT|>", "각 ǅ ẞ", "a  b\n\n c\t d  ", " x", "a\n b", "a \nb"]
 
 
