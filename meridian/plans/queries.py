@@ -261,9 +261,9 @@ def layered_backtest_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def optimizer_solve(spark: SparkSession, d: str) -> DataFrame:
-    """One problem per fourth week: expected returns from the reversal factor, diagonal risk."""
+    """One problem per week: expected returns from the reversal factor, diagonal risk."""
     grid = Panel.of(spark, d).grid
-    cells = factors.evaluate("rev_5", grid).where("value IS NOT NULL AND di % 4 = 0").withColumnRenamed("value", "alpha")
+    cells = factors.evaluate("rev_5", grid).where("value IS NOT NULL").withColumnRenamed("value", "alpha")
     cells = cells.join(factors.evaluate("vol_20", grid).select("di", "code", F.col("value").alias("vol")).where("vol > 0"), ["di", "code"])
     sizes = cells.groupBy("di").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
     cells = cells.join(sizes, "di").select(F.col("di").alias("problem"), "code", (F.col("alpha") * 0.01).alias("alpha"), (F.col("vol") * F.col("vol")).alias("var"), (1.0 / F.col("n")).alias("base"))

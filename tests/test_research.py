@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meridian.operators import asof, backtest, discipline, factors, model, optimizer, risk, strategy, universe
 from meridian.operators import evaluate as ev
+from meridian.plans import queries
 from meridian.sources import panel as panel_source
 
 from .test_functions import START, long, same, wide
@@ -462,3 +463,14 @@ def test_bars_and_panel(spark):
     with pytest.raises(ValueError):
         panel_source.check_unique(p.bars.union(p.bars))
     assert panel_source.Panel(panel_source.weekly_bars(lines.limit(0))).grid.count() == 0
+
+
+def test_optimizer_solve_takes_every_week(spark):
+    """Every week with at least five names that have both factors is a problem, not only every fourth."""
+    folder = "/root/testdata/sf0.001"
+    grid = panel_source.Panel.of(spark, folder).grid
+    alpha, vol = (factors.evaluate(name, grid).select("di", "code", "value") for name in ("rev_5", "vol_20"))
+    cells = alpha.where("value IS NOT NULL").select("di", "code").join(vol.where("value > 0").select("di", "code"), ["di", "code"])
+    weeks = {r["di"] for r in cells.groupBy("di").count().where("count >= 5").select("di").collect()}
+    solved = {r["problem"] for r in queries.QUERIES["optimizer_solve"](spark, folder).select("problem").distinct().collect()}
+    assert solved == weeks and any(di % 4 for di in weeks)
