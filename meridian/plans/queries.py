@@ -294,14 +294,25 @@ def _strategies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pbo_cscv(spark: SparkSession, d: str) -> DataFrame:
+    """Eight blocks, as in the SQL twin; ``pbo_cscv_full`` has the operator's 16."""
     return rounded(discipline.pbo_cscv(_strategies(spark, d), 8), 6)
 
 
+def pbo_cscv_full(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(discipline.pbo_cscv(_strategies(spark, d)), 6)
+
+
 def noise_control(spark: SparkSession, d: str) -> DataFrame:
+    """Eight arms, as in the SQL twin; ``noise_control_full`` has the operator's 20."""
     grid = Panel.of(spark, d).grid
     return rounded(discipline.noise_control(factors.evaluate("rev_5", grid), ev.forward_returns(grid, HORIZON), 8, MIN_NAMES))
 
 
+def noise_control_full(spark: SparkSession, d: str) -> DataFrame:
+    grid = Panel.of(spark, d).grid
+    return rounded(discipline.noise_control(factors.evaluate("rev_5", grid), ev.forward_returns(grid, HORIZON), min_names=MIN_NAMES))
+
+
 def psr_dsr(spark: SparkSession, d: str) -> DataFrame:
     row = discipline.series_moments(_layered(spark, d).where("leg = 'ls'")).first()
     found = discipline.deflated_sharpe(row["sharpe"], 60, row["n"], row["skew"], row["kurt"])
@@ -336,6 +347,7 @@ def _named() -> dict[str, Query]:
         "layered_backtest_daily": layered_backtest_daily, "layered_metrics": layered_metrics, "layered_backtest_masked": layered_backtest_masked,
         "topn_buffer_weights": topn_buffer_weights, "turnover": turnover, "portfolio_returns": portfolio_returns, "target_holdings": target_holdings,
         "optimizer_solve": optimizer_solve, "optimizer_backtest": optimizer_backtest, "pbo_cscv": pbo_cscv, "noise_control": noise_control,
+        "pbo_cscv_full": pbo_cscv_full, "noise_control_full": noise_control_full,
         "psr_dsr": psr_dsr, "admission_check": admission_check, "model_walk_forward": model_walk_forward,
     }
     out |= {f"factor_{name}": _factor(name) for name in factors.list_factors()}

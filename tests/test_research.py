@@ -474,3 +474,9 @@ def test_optimizer_solve_takes_every_week(spark):
     weeks = {r["di"] for r in cells.groupBy("di").count().where("count >= 5").select("di").collect()}
     solved = {r["problem"] for r in queries.QUERIES["optimizer_solve"](spark, folder).select("problem").distinct().collect()}
     assert solved == weeks and any(di % 4 for di in weeks)
+
+
+def test_full_discipline_queries(spark):
+    """The operators' own 20 arms and 12,870 combinations."""
+    assert queries.QUERIES["noise_control_full"](spark, "/root/testdata/sf0.01").first()["n_arms"] == 20
+    assert queries.QUERIES["pbo_cscv_full"](spark, "/root/testdata/sf0.01").first()["n_combinations"] == 12870
