@@ -8,7 +8,7 @@ their trees side by side, one merge of each at a time.
 
 Normalising and cutting into words follow the tokenizer file: by a pattern for texts
 below U+0250, by the library's own normaliser and pre-tokenizer for others. A word is
-merged once per worker and kept in a cache of bounded size.
+merged once per worker and kept in a cache of bounded size. Texts are decoded from their ids alone.
 """
 
 from __future__ import annotations
@@ -158,8 +158,11 @@ class Codec:
         self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.bpe = SegmentTreeBPE(self.vocab, model["merges"])
         self.library = Tokenizer.from_file(path)
-        self.names = {i: s for s, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        names = {i: s for s, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = [names.get(i) for i in range(max(names, default=-1) + 1)]
+        self.whole = None not in self.names
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.marks = tuple({s[0] for s in self.special if s})  # a text without any of these holds no special token
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.alphabet = byte_alphabet()
         self.inner, self.last = [self.vocab[c] for c in self.alphabet], [self.vocab[c + self.suffix] for c in self.alphabet]
@@ -177,7 +180,7 @@ class Codec:
 
     def pieces(self, text: str) -> list:
         """All words of a text; special tokens as their ids."""
-        if not self.cut or "<" not in text:
+        if not any(m in text for m in self.marks):
             return self._pieces(text)
         out: list = []
         for part in self.cut.split(text):
@@ -189,7 +192,7 @@ class Codec:
 
     def _learn(self, words: list) -> None:
         self.words.turn()
-        inner, last, names, rows = self.inner, self.last, self.names, []
+        inner, last, rows = self.inner, self.last, []
         for word in words:
             if isinstance(word, int):
                 rows.append([word])
@@ -199,7 +202,7 @@ class Codec:
             row[-1] = last[raw[-1]]
             rows.append(row)
         for word, ids in zip(words, self.bpe.encode(rows)):
-            self.words[word] = (array("I", ids).tobytes(), " ".join([names[i] for i in ids]))
+            self.words[word] = array("I", ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Each text's ids, as little-endian 32-bit integers, and its decoding."""
@@ -209,13 +212,16 @@ class Codec:
             self._learn(new)
         words, out = self.words, []
         for text in cut:
-            found = [words[w] for w in text]
-            out.append((b"".join([x for x, _ in found]), " ".join([y for _, y in found])))
+            ids = b"".join([words[w] for w in text])
+            out.append((ids, self.decode(ids)))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Token strings joined by spaces, special tokens included."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+    def decode(self, raw: bytes) -> str:
+        """Token strings of little-endian 32-bit ids joined by spaces, special tokens included; unknown ids are left out."""
+        names, ids = self.names, array("I", raw)
+        if self.whole and (not ids or max(ids) < len(names)):
+            return " ".join([names[i] for i in ids])
+        return " ".join([names[i] for i in ids if i < len(names) and names[i] is not None])
 
 
 _CODECS: dict[str, Codec] = {}

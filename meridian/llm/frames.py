@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,16 +15,45 @@ from pyspark.sql import functions as F
 from meridian.llm.words import give_back
 
 
+_KEPT: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one in the temporary folder only for a local master without that setting.
+
+    On a cluster an unset folder raises ``RuntimeError``: what an executor writes to a disk of its own, others would never find.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found or "/tmp/checkpoints/meridian"
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/meridian-checkpoints"
+
+
+def table_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is removed when the driver's JVM ends; ``clear`` removes it earlier."""
+    folder = f"{shared_folder(spark)}/meridian-{spark.sparkContext.applicationId}"
+    if folder not in _KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)  # holds only for a folder that exists
+        _KEPT.add(folder)
+    return folder
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that ``written`` has made in this application; DataFrames over them can't be read any more."""
+    folder = table_folder(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{table_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,3 +114,17 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, few: i
     gone = written(gone.select("id", "text_hash").distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= few else gone
     return docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & F.xxhash64(docs[text_col]).eqNullSafe(gone["text_hash"]), "left_anti")
+
+
+def joined_by_few(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, total: int, parts: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``counted`` (one row per key; ``n`` tells how many rows have it), left outer, without a hot key in any task.
+
+    Keys with over a ``parts``-th of the ``total`` rows are fewer than ``parts`` whatever the data, so they are broadcast; no other key has more than that share, and those
+    are joined by shuffle. Null keys match nothing and stay.
+    """
+    common = F.col(n) > total / parts
+    hot = counted.where(common).drop(n)
+    extra = [c for c in counted.columns if c not in (*keys, n)]
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"), *extra)), keys, "left")
+    cold = marked.where("__hot IS NULL").select(*rows.columns).join(counted.where(~common).drop(n), keys, "left")
+    return marked.where("__hot").select(*rows.columns, *extra).unionByName(cold.select(*rows.columns, *extra))

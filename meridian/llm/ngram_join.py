@@ -6,9 +6,8 @@ a counting sketch over all documents, then by hash. Two sets that link share one
 ``n - ceil(t * n) + 1`` members.
 
 1. Each class sends those prefix members, packed by key range; keys of one class only end there. The
-   classes that share a key form a list; equal lists are kept once. Keys that a second sketch expects in more
-   than ``CAP`` classes are dealt into tiles, so that each pair of classes still meets in one tile and no
-   list grows with the data.
+   classes that share a key form a list; equal lists are kept once. A key of many classes (by a second sketch before it is sent, by
+   count where it arrives) is dealt: each of its classes goes to one of several lists of about ``CAP``, so no list grows with the data and no row is copied.
 2. Lists lose the pairs that size or a histogram of the n-gram hashes excludes (both are upper bounds
    of the overlap, so no link is lost). Most lists end here.
 3. Stars: in each list, the smallest candidate is paired with its neighbours, which connects groups of
@@ -17,7 +16,10 @@ a counting sketch over all documents, then by hash. Two sets that link share one
    left when its overlap so far plus the shorter remainder can't reach the needed overlap.
 4. In lists whose members are not all connected by then, spanning forests of the pairs of different components that the finer
    histogram leaves connect components to families. All members of such lists in a family's components stand in one trie that all of them
-   walk, together; found links connect at once, and what is connected is not compared. Families of over ``FAMILY`` classes go pair by pair instead.
+   walk, together; found links connect at once, and what is connected is not compared. Families of over ``FAMILY`` classes or ``FAMILY_GRAMS`` members
+   are walked list by list, and lists of over ``FAMILY_GRAMS`` members pair by pair.
+5. Pairs of a dealt key's classes that did not meet and are not connected yet meet now: the other classes of the key meet those of its largest component, block by
+   block, and each other. A key whose classes are all connected by then, as those of near copies are, needs nothing; others cost what their open pairs cost.
 
 Links are exact overlaps of hashed sets. Classes have 64-bit names: of n classes two share a name with a
 chance of about n*n / 2**65.
@@ -34,16 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from meridian.llm.components import components
-from meridian.llm.frames import small_batches, text_bytes, whole_groups, without, written
+from meridian.llm.frames import joined_by_few, small_batches, text_bytes, whole_groups, without, written
 from meridian.llm.words import LOWER, SPACED, by_size, mix, rolling, scan, text_buffer
 
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 CHUNK = 1 << 14
 HASH = np.uint64((1 << 58) - 1)
-CAP = 2000
+CAP = 256
 FEW = 100_000
 FAMILY = 4000
+FAMILY_GRAMS = 8 << 20
+LEVEL_BITS = 20  # weights are integers, so that a level does not depend on what stands before an n-gram
 SCAN_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 
@@ -60,8 +64,8 @@ def gram_sets(texts: pa.Array, n: int, weights: np.ndarray | None = None, seen:
         seen += np.bincount(slots, minlength=SLOTS)
     grams, out = rolling(words.hashes, n) >> np.uint64(6), []
     if weights is not None and len(grams):
-        total = np.concatenate([[0.0], np.cumsum(weights[slots])])
-        grams |= np.clip(total[n:] - total[:-n], 0, 63).astype(np.uint64) << np.uint64(58)
+        total = np.concatenate([[0], np.cumsum(weights[slots])])
+        grams |= np.clip((total[n:] - total[:-n]) >> LEVEL_BITS, 0, 63).astype(np.uint64) << np.uint64(58)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
@@ -75,7 +79,8 @@ def gram_sets(texts: pa.Array, n: int, weights: np.ndarray | None = None, seen:
 def word_weights(counts: np.ndarray, n: int) -> np.ndarray:
     """Per slot, the part that a word adds to an n-gram's level: rare words nothing, the most frequent 63 / n."""
     low, high = np.log2(counts.mean() / 4 + 1), np.log2(counts.max() + 2)
-    return np.maximum(0.0, (np.log2(counts + 1.0) - low) / max(1e-9, high - low)) * (63 / n)
+    share = np.maximum(0.0, (np.log2(counts + 1.0) - low) / max(1e-9, high - low))
+    return np.floor(share * (63 / n) * (1 << LEVEL_BITS)).astype(np.int64)
 
 
 def class_name(grams: np.ndarray) -> int:
@@ -208,8 +213,15 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFr
     return found.where("chunk IS NULL").drop("chunk", "counts"), counts[:SLOTS], counts[SLOTS:]
 
 
+def _dealt(key: np.ndarray, name: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    """The key of the list that a class (``name``) of a dealt key belongs to; each key deals classes in its own way."""
+    part = mix(name.view(np.uint64) + key) % np.asarray(parts, np.uint64)
+    return mix(key + mix(part + np.uint64(1)))
+
+
 def _lists(docs: DataFrame, text_col: str, n: int, percent: int, weights: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Lists of classes that share a prefix member: ``list`` (a name), ``class``, one row per member."""
+    """Lists of classes that share a prefix member: ``list`` (a name), ``class``, one row per member. Classes of a dealt key have rows
+    with the key in ``whole`` and no ``list`` besides."""
     usual = float(counts.mean())
     tiles = np.maximum(1, np.ceil((counts - usual - 6 * np.sqrt(usual)) / CAP)).astype(np.int64)
     n_buckets = max(1, -(-text_bytes(docs, text_col) // BUCKET_BYTES))
@@ -217,7 +229,7 @@ def _lists(docs: DataFrame, text_col: str, n: int, percent: int, weights: np.nda
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", SCAN_BYTES):
-            keys, names, seen = [], [], set()
+            keys, names, wholes, seen = [], [], [], set()
             for grams in gram_sets(batch.column("text"), n, weights):
                 name = class_name(grams) if len(grams) else None
                 if name is None or name in seen:
@@ -225,44 +237,76 @@ def _lists(docs: DataFrame, text_col: str, n: int, percent: int, weights: np.nda
                 seen.add(name)
                 prefix = grams[: len(grams) - -(-percent * len(grams) // 100) + 1]
                 wide = tiles[((prefix & HASH) >> np.uint64(58 - SLOT_BITS)).astype(np.int64)]
-                mine = mix(prefix)
-                if (wide > 1).any():
-                    parts = [mine[wide == 1]]
-                    for key, k in zip(mine[wide > 1], wide[wide > 1].tolist()):
-                        i = name % k
-                        tile = np.array([min(i, j) * k + max(i, j) for j in range(k)], np.uint64)
-                        parts.append(mix(key + mix(tile + np.uint64(1))))
-                    mine = np.concatenate(parts)
-                keys.append(mine)
-                names.append(np.full(len(mine), name, np.int64))
+                key, same = mix(prefix), np.full(len(prefix), name, np.int64)
+                keys.append(np.where(wide > 1, _dealt(key, same, wide), key))
+                names.append(same)
+                wholes.append(np.where(wide > 1, key, np.uint64(0)))
             if not keys:
                 continue
-            key, name = np.concatenate(keys), np.concatenate(names)
-            order = np.argsort(key, kind="stable")
-            key, name = key[order], name[order]
-            cuts = np.concatenate([[0], np.searchsorted(key, edges, "left"), [len(key)]])
-            full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "keys": pa.array([key[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), "names": pa.array([name[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
+            key, name, whole = np.concatenate(keys), np.concatenate(names), np.concatenate(wholes)
+            for on in (whole == 0, whole != 0):
+                if not on.any():
+                    continue
+                order = np.argsort(key[on], kind="stable")
+                k, m, w = key[on][order], name[on][order], whole[on][order]
+                cuts = np.concatenate([[0], np.searchsorted(k, edges, "left"), [len(k)]])
+                full = np.flatnonzero(np.diff(cuts))
+                raw = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "keys": raw(k), "names": raw(m), "wholes": raw(w) if w[0] else pa.nulls(len(full), pa.binary())})
 
     def group(bucket: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("keys")])
         name = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in bucket.column("names")])
+        whole = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else np.zeros(len(k.as_buffer()) // 8, np.uint64) for x, k in zip(bucket.column("wholes"), bucket.column("keys"))])
         order = np.lexsort((name, key))
-        key, name = key[order], name[order]
+        key, name, whole = key[order], name[order], whole[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-        key, name = key[new], name[new]
+        key, name, whole = key[new], name[new], whole[new]
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(heads, len(key)))
+        long = np.repeat(np.where(sizes > 2 * CAP, -(-sizes // CAP), 1), sizes)
+        if (long > 1).any():  # deal these too
+            on = long > 1
+            whole[on] = np.where(whole[on] == 0, key[on], whole[on])
+            key[on] = _dealt(key[on], name[on], long[on])
+            order = np.lexsort((name, key))
+            key, name, whole = key[order], name[order], whole[order]
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(heads, len(key)))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(name.view(np.uint64) + np.uint64(3)))])
         lists = mix(total[heads + sizes] - total[heads] + sizes.astype(np.uint64))
         several = np.flatnonzero(sizes > 1)
         _, first = np.unique(lists[several], return_index=True)
         several = several[first]
         at = np.repeat(heads[several] - np.concatenate([[0], np.cumsum(sizes[several])[:-1]]), sizes[several]) + np.arange(sizes[several].sum())
-        return pa.table({"list": pa.array(np.repeat(lists[several].view(np.int64), sizes[several])), "class": pa.array(name[at])})
+        dealt = np.flatnonzero(whole)
+        return pa.table({
+            "list": pa.concat_arrays([pa.array(np.repeat(lists[several].view(np.int64), sizes[several])), pa.nulls(len(dealt), pa.int64())]),
+            "class": pa.array(np.concatenate([name[at], name[dealt]])), "whole": pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(whole[dealt].view(np.int64))]),
+        })
+
+    blocks = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket int, keys binary, names binary, wholes binary")
+    return written(blocks.groupBy("bucket").applyInArrow(group, "list long, class long, whole long").distinct(), "lists")
+
+
+def _cross_lists(dealt: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists in which classes of a dealt key (``whole, class``) meet that are not connected yet: ``list, class, root``.
 
-    blocks = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "bucket int, keys binary, names binary")
-    return blocks.groupBy("bucket").applyInArrow(group, "list long, class long").distinct()
+    Classes outside the key's largest component meet that component's blocks of about ``CAP`` classes, and each other.
+    """
+    members = written(dealt.join(roots, F.col("class") == F.col("node"), "left").select("whole", "class", F.coalesce("root", "class").alias("root")), "dealt")
+    parts = members.groupBy("whole", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = parts.groupBy("whole").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("top"), F.sum("n").alias("all"))
+    keys = written(keys.where("all > top"), "dealt-keys")
+    blocks = lambda n: F.ceil(n / F.lit(float(CAP))).cast("long")
+    keys = keys.select("whole", "main", "all", blocks(F.col("top")).alias("mains"), blocks(F.col("all") - F.col("top")).alias("others"))
+    open_keys = joined_by_few(members, keys, ["whole"], "all", members.count()).where("main IS NOT NULL")
+    own = lambda n: F.pmod(F.xxhash64("class", "whole"), F.col(n))
+    inside = F.col("root") == F.col("main")
+    cross = open_keys.select("whole", "class", "root", F.explode(F.when(inside, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("whole", F.lit(1), own("mains"), j))).otherwise(
+        F.concat(F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: F.xxhash64("whole", F.lit(1), b.cast("long"), own("others"))),
+            F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.xxhash64("whole", F.lit(2), F.least(j.cast("long"), own("others")), F.greatest(j.cast("long"), own("others"))))))).alias("list"))
+    return cross.select("list", "class", "root").distinct()
 
 
 def _ranges(raw: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,11 +321,11 @@ def _ranges(raw: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Members that size and histogram leave a partner in their list, each with the centre of its star."""
+    """Members (``list, class, root``) that size and histogram leave a partner of another root in their list, each with the centre of its star."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "list"):
-            lists, names, sizes = (rows.column(c).to_numpy() for c in ("list", "class", "n"))
+            lists, names, sizes, roots = (rows.column(c).to_numpy() for c in ("list", "class", "n", "root"))
             raw, n_rows = rows.column("histogram").to_pylist(), len(lists)
             heads = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
             counts = np.diff(np.append(heads, n_rows))
@@ -292,7 +336,8 @@ def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             for d in range(1, int(counts.max())):  # rows stand by size: partners lie d rows on
                 row = row[row + d < after[row]]
                 row = row[percent * sizes[row + d] <= 100 * sizes[row]]
-                for part in np.array_split(row, len(row) // 50_000 + 1):
+                apart = row[roots[row] != roots[row + d]]
+                for part in np.array_split(apart, len(apart) // 50_000 + 1):
                     other = part + d
                     need = least_overlap(sizes[part], sizes[other], percent)
                     for bars, have in levels:
@@ -313,12 +358,12 @@ def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_pydict({"list": pa.array(np.repeat(label, counts)), "class": pa.array(names[keep]), "centre": pa.array(names[np.minimum(middle, n_rows - 1)], mask=middle == n_rows)})
 
     described = lists.join(classes.select("class", "n", "histogram"), "class")
-    sorted_lists = described.select("list", "class", "n", "histogram").repartition("list").sortWithinPartitions("list", "n", "class")
+    sorted_lists = described.select("list", "class", "root", "n", "histogram").repartition("list").sortWithinPartitions("list", "n", "class")
     return sorted_lists.mapInArrow(judge, "list long, class long, centre long").distinct()
 
 
 def _sequences(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``class, n, fine, grams`` of the wanted classes (``class``, ``id`` of one document of each): the finer histogram and the ordered set."""
+    """``class, n, fine, grams`` of the wanted classes (``class``, and ``id`` and ``text_hash`` of one document of each): the finer histogram and the ordered set."""
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", SCAN_BYTES):
@@ -331,8 +376,8 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: Data
             })
 
     wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    rows = rows.join(wanted, rows["__id"].eqNullSafe(wanted["id"])).select("text", "class")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__hash"))
+    rows = rows.join(wanted, rows["__id"].eqNullSafe(wanted["id"]) & (rows["__hash"] == wanted["text_hash"])).select("text", "class")
     found = rows.mapInArrow(order, "class long, n long, fine binary, grams binary")
     return found.groupBy("class").agg(F.first("n").alias("n"), F.first("fine").alias("fine"), F.first("grams").alias("grams"))
 
@@ -449,33 +494,52 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -
         return written(_connected(docs, id_col, text_col, n, percent), "rooted")
 
 
-def _connected(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    described, word_counts, gram_counts = _survey(docs, id_col, text_col, n)
-    weights = word_weights(word_counts, n)
-    classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"), F.min("id").alias("id"))
-    lists = _lists(docs, text_col, n, percent, weights, gram_counts)
-    candidates = written(_candidates(lists, classes, percent), "candidates")
-    wanted = written(candidates.select("class").distinct().join(classes.select("class", "id"), "class"), "wanted")
-    sequences = written(_sequences(docs, id_col, text_col, n, wanted, weights), "sequences")
-    stars = candidates.where("centre IS NOT NULL").select(F.col("centre").alias("u"), F.col("class").alias("v")).distinct()
-    links = written(_links(written(_close(stars, sequences, percent), "star-pairs"), sequences, percent), "star-links")
-    roots = components(links)
+def _settle(candidates: DataFrame, sequences: DataFrame, percent: int, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``links`` and ``roots`` with the links that connect different components in the candidates' lists."""
     members = candidates.select("list", "class").distinct().join(roots, F.col("class") == F.col("node"), "left").select("list", "class", F.coalesce("root", "class").alias("root"))
     several = members.groupBy("list").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("list")
-    members = members.join(several, "list")
+    members = written(members.join(several, "list"), "open-lists")
     forest = written(_open_pairs(members, sequences, percent, forest=True), "forest")
     ends = forest.select(F.col("u").alias("class")).union(forest.select("v")).distinct()
     ends = written(ends.join(roots, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root")), "forest-ends")
     # whatever may link across components is connected by the forests and the links so far; a forest leaves out pairs of what it
     # has joined, so not only its ends but every open member of a component that it reaches walks
     family = components(forest.union(ends.select("class", "root"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
-    family = written(members.select("class", "root").distinct().join(family, "root").select("class", "root", "family"), "families")
-    large = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY).select("family")
+    family = members.select("class", "root").distinct().join(family, "root").join(sequences.select("class", "n"), "class")
+    family = written(family.select("class", "root", "family", "n"), "families")
+    over = lambda df, key, most: df.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where((F.col("k") > most) | (F.col("n") > FAMILY_GRAMS)).select(key)
+    large = written(over(family, "family", FAMILY), "large-families")
     more = _family_links(family.join(large, "family", "left_anti"), sequences, percent)
-    rest = members.join(family.join(large, "family", "left_semi").select("class"), "class", "left_semi")
-    more = written(more.union(_links(_open_pairs(rest, sequences, percent, forest=False), sequences, percent)), "more-links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    rest = members.join(family.join(large, "family", "left_semi").select("class", "n"), "class")
+    long = written(over(rest, "list", 4 * CAP), "long-lists")
+    more = more.union(_family_links(rest.join(long, "list", "left_anti").withColumnRenamed("list", "family"), sequences, percent))
+    more = written(more.union(_links(_open_pairs(rest.join(long, "list", "left_semi").select("list", "class", "root"), sequences, percent, forest=False), sequences, percent)), "more-links")
+    if more.isEmpty():
+        return links, roots
+    links = links.union(more)
+    return links, components(links)
+
+
+def _connected(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    described, word_counts, gram_counts = _survey(docs, id_col, text_col, n)
+    weights = word_weights(word_counts, n)
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+    classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"), one.alias("one"))
+    classes = classes.select("class", "n", "histogram", "one.id", "one.text_hash")
+    lists = _lists(docs, text_col, n, percent, weights, gram_counts)
+    candidates = written(_candidates(lists.where("list IS NOT NULL").select("list", "class", F.col("class").alias("root")), classes, percent), "candidates")
+    wanted = written(candidates.select("class").distinct().join(classes.select("class", "id", "text_hash"), "class"), "wanted")
+    sequences = written(_sequences(docs, id_col, text_col, n, wanted, weights), "sequences")
+    stars = candidates.where("centre IS NOT NULL").select(F.col("centre").alias("u"), F.col("class").alias("v")).distinct()
+    links = written(_links(written(_close(stars, sequences, percent), "star-pairs"), sequences, percent), "star-links")
+    links, roots = _settle(candidates, sequences, percent, links, components(links))
+    dealt = lists.where("whole IS NOT NULL").select("whole", "class").distinct()
+    cross = written(_cross_lists(dealt, roots), "cross-lists") if not dealt.isEmpty() else dealt
+    if not cross.isEmpty():
+        candidates = written(_candidates(cross, classes, percent), "cross-candidates")
+        wanted = candidates.select("class").distinct().join(sequences, "class", "left_anti").join(classes.select("class", "id", "text_hash"), "class")
+        more = written(_sequences(docs, id_col, text_col, n, written(wanted, "wanted"), weights), "sequences")
+        links, roots = _settle(candidates, sequences.unionByName(more), percent, links, roots)
     named = described.select("id", "text_hash", "n", "class").join(roots, F.col("class") == F.col("node"), "left")
     return named.select("id", "text_hash", "n", F.coalesce("root", "class").alias("root"))
 
@@ -490,8 +554,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result; other columns are ignored.
     """
     rooted = _rooted(docs, id_col, text_col, n, percent)
-    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = rooted.join(smallest, "root", "left")
+    smallest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    out = joined_by_few(rooted, smallest, ["root"], "size", rooted.count())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -502,8 +566,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     rooted = _rooted(docs, id_col, text_col, n, percent).where("root IS NOT NULL")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
-    losers = rooted.join(best, "root").where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))))
+    best = rooted.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
+    losers = joined_by_few(rooted, best, ["root"], "size", rooted.count()).where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))))
     kept = without(docs, losers, id_col, text_col)
     if rooted.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
         return kept

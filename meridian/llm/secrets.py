@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,9 +70,11 @@ class RandomStrings:
         return len(plain) / len(self.encoding.encode_ordinary(plain)) < self.limit
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = []
+        found, starts = [], [a for a, _, _ in known]
+        reach = list(accumulate((b for _, _, b in known), max))  # the furthest end of the spans so far
         for m in CANDIDATE.finditer(text):
-            inside = [(a, b) for a, _, b in known if a < m.end() and m.start() < b]
+            near = known[bisect_right(reach, m.start()) : bisect_left(starts, m.end())]
+            inside = [(a, b) for a, _, b in near if m.start() < b]
             if not inside:
                 if self.random(m[0]):
                     found.append((m.start(), 3, m.end()))

@@ -1,44 +1,76 @@
 """Substring dedup: fixed-length word windows that occur more than once are cut out.
 
-Rows are dealt by a content hash into batches of bounded size. Each batch hashes
-all its word windows (Rabin-Karp, 64 bits), folds equal ones and sends the sorted
+Rows are packed where they are into batches of bounded size, written as a table with compressed texts. Each batch hashes
+all its word windows (Rabin-Karp, 96 bits from two independent bases), folds equal ones and sends the sorted
 hashes, as blocks of bytes, to buckets that split the hash range evenly. A bucket
 counts its hashes and answers each block with one bit per hash. Batches turn the
-bits into removal intervals. A window, copied document or passage that fills
+bits into removal intervals. A window, copied document, repeated row or passage that fills
 a third of the corpus thus costs each bucket one entry per batch, not one per
-occurrence, and no pairs are formed.
+occurrence; rows are dealt by place, not by content, and no pairs are formed.
 
-Two different windows share a 64-bit hash with a chance of about n*n / 2**65 over
-n windows (below 0.001 for 150 million).
+There is a block for each batch and bucket that share a hash, so there are never more blocks than distinct windows of batches: their number
+grows with batches times buckets until a block holds one hash (about 100,000 batches, some 800 GB), and in proportion to the input from there on.
+
+Two different windows share a 96-bit hash with a chance of about n*n / 2**97 over n windows: 2e-10 for the 5e9 of 30 GB, 0.003 for
+the 2e13 of 100 TB. Words are compared through the same pair of bases, as 128 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from meridian.llm.frames import text_bytes
-from meridian.llm.words import rolling, scan, text_buffer, whole_runs
+from meridian.llm.frames import text_bytes, written
+from meridian.llm.words import by_size, rolling, scan, text_buffer, whole_runs
 
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 
 
-def _ordered(rows: pa.Table) -> pa.Table:
-    """The same order in every run: by key, then by text."""
-    return rows.take(pc.sort_indices(rows, [("__key", "ascending"), ("__text", "ascending")]))
+class Windows:
+    """The words of a batch, where its windows start, its distinct windows in order of their hash pairs, and which of them each window is."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, n_buckets: int) -> None:
+        self.words = scan(data, offsets, both=True)
+        n = len(self.words.hashes)
+        self.at = np.flatnonzero(whole_runs(self.words.first, window, n))
+        high, low = (rolling(np.ascontiguousarray(self.words.hashes[:, k]), window, k)[self.at] for k in (0, 1))
+        low = (low >> np.uint64(32)).astype(np.uint32)
+        order = ordered(high, low)
+        high, low = high[order], low[order]
+        new = differ(high, low)
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        self.high, self.low = high[heads], low[heads]
+        self.twice = np.diff(np.append(heads, len(order))) > 1
+        bucket = bucket_of(self.high, n_buckets)
+        self.full, first = np.unique(bucket, return_index=True)
+        self.cuts = np.append(first, len(bucket))
+
 
+def ordered(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """An order of hash pairs in which equal ones stand together."""
+    order = np.argsort(high, kind="stable")
+    h, l = high[order], low[order]  # noqa: E741
+    return np.lexsort((low, high)) if ((h[1:] == h[:-1]) & (l[1:] != l[:-1])).any() else order
 
-def _windows(rows: pa.Table, window: int):
-    """Distinct window hashes of a batch, sorted; where each window is among them; its words."""
-    data, offsets = text_buffer(rows.column("__text"))
-    words = scan(data, offsets)
-    at = np.flatnonzero(whole_runs(words.first, window, len(words.hashes)))
-    distinct, inverse, counts = np.unique(rolling(words.hashes, window)[at], return_inverse=True, return_counts=True)
-    return data, offsets, words, at, distinct, inverse, counts > 1
+
+def differ(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """True where a pair is not that before it."""
+    return np.concatenate([np.ones(min(1, len(high)), bool), (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+
+
+def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Even ranges of the hashes' upper 32 bits."""
+    return (((hashes >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -60,6 +92,44 @@ def _unpack(block: bytes) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64).ravel())
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` as a written table of batches: ``batch`` (task and place), ``ids``, ``sizes`` (bytes of each text) and ``texts`` (compressed together, ``n`` bytes)."""
+    kind = docs.schema[id_col].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for place, batch in enumerate(gathered(batches)):
+            data, offsets = text_buffer(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([(task << 32) + place], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(to_arrow_type(kind))), pa.array([np.diff(offsets).astype(np.int64).tobytes()], pa.binary()),
+                pa.array([len(data)], pa.int64()), pa.array([pa.compress(pa.py_buffer(data.tobytes()), "zstd", asbytes=True)], pa.binary()),
+            ], ["batch", "ids", "sizes", "n", "texts"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return written(rows.mapInArrow(pack, f"batch long, ids array<{kind.simpleString()}>, sizes binary, n long, texts binary"), "batches")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in tables of about BATCH_BYTES of text; a longer text comes alone or ends its table."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in by_size(batches, "text", BATCH_BYTES // 4):
+        held.append(batch)
+        size += int(pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)
+        if size >= BATCH_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _texts(batch: pa.Table | pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of a batch's texts."""
+    raw = pa.decompress(batch.column("texts")[row].as_buffer(), batch.column("n")[row].as_py(), "zstd") if batch.column("n")[row].as_py() else b""
+    sizes = np.frombuffer(batch.column("sizes")[row].as_buffer(), np.int64)
+    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """Cut every word that lies in a window of ``window`` words whose word sequence also starts elsewhere.
 
@@ -69,30 +139,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty texts have no words and stay empty; null, tied and repeated ids are allowed, and a repeated
     row counts as a second copy; an empty table gives an empty result; other columns are ignored.
     """
-    size = text_bytes(docs, text_col)
-    n_batches = max(1, -(-size // BATCH_BYTES))
-    n_buckets = max(1, -(-size // BUCKET_BYTES))
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), key.alias("__key")).withColumn("__batch", F.pmod("__key", F.lit(n_batches)).cast("int"))
-    edges = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def send(batch: pa.Table) -> pa.Table:
-        _, _, _, _, distinct, _, twice = _windows(_ordered(batch), window)
-        cuts = np.concatenate([[0], np.searchsorted(distinct, edges, "left"), [len(distinct)]])
-        full = np.flatnonzero(np.diff(cuts))
-        blocks = [_pack(distinct[cuts[b] : cuts[b + 1]]) for b in full]
-        local = [np.packbits(twice[cuts[b] : cuts[b + 1]]).tobytes() for b in full]
-        name = batch.column("__batch")[0].as_py()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "batch": pa.array([name] * len(full), pa.int32()), "hashes": pa.array(blocks, pa.binary()), "twice": pa.array(local, pa.binary())})
+    n_buckets = max(1, -(-text_bytes(docs, text_col) // BUCKET_BYTES))
+    id_type = docs.schema[id_col].dataType
+    batches = packed(docs, id_col, text_col)
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in range(batch.num_rows):
+                found = Windows(*_texts(batch, row), window, n_buckets)
+                parts = [slice(a, b) for a, b in zip(found.cuts[:-1], found.cuts[1:])]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(found.full, pa.int32()), "batch": pa.array([batch.column("batch")[row].as_py()] * len(parts), pa.int64()), "high": pa.array([_pack(found.high[x]) for x in parts], pa.binary()),
+                    "low": pa.array([found.low[x].tobytes() for x in parts], pa.binary()), "twice": pa.array([np.packbits(found.twice[x]).tobytes() for x in parts], pa.binary()),
+                })
 
     def count(bucket: pa.Table) -> pa.Table:
-        blocks = [_unpack(x) for x in bucket.column("hashes").to_pylist()]
+        blocks = [_unpack(x) for x in bucket.column("high").to_pylist()]
         sizes = [len(x) for x in blocks]
+        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in bucket.column("low")])
         local = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(bucket.column("twice").to_pylist(), sizes)]
-        hashes, found = np.concatenate(blocks), np.concatenate(local)
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order[1:]] == hashes[order[:-1]]
+        high, found = np.concatenate(blocks), np.concatenate(local)
+        order = ordered(high, low)
+        same = ~differ(high[order], low[order])[1:]
         found[order[1:][same]] = True
         found[order[:-1][same]] = True
         parts = np.split(found, np.cumsum(sizes)[:-1])
@@ -100,15 +168,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"batch": bucket.column("batch").take(pa.array(keep, pa.int64())), "bucket": bucket.column("bucket").take(pa.array(keep, pa.int64())), "bits": pa.array([np.packbits(parts[i]).tobytes() for i in keep], pa.binary())})
 
     def cut(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = _ordered(batch)
-        data, offsets, words, at, distinct, inverse, _ = _windows(batch, window)
-        cuts = np.concatenate([[0], np.searchsorted(distinct, edges, "left"), [len(distinct)]])
-        repeated = np.zeros(len(distinct), bool)
+        data, offsets = _texts(batch, 0)
+        found = Windows(data, offsets, window, n_buckets)
+        words, repeated = found.words, np.zeros(len(found.high), bool)
+        place = {int(b): k for k, b in enumerate(found.full)}
         for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
-            n = cuts[bucket + 1] - cuts[bucket]
-            repeated[cuts[bucket] : cuts[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        starts = at[repeated[inverse]]
-        depth = np.zeros(len(words.hashes) + 1, np.int32)
+            a, b = found.cuts[place[bucket]], found.cuts[place[bucket] + 1]
+            repeated[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+        starts = found.at[repeated[found.inverse]]
+        depth = np.zeros(len(words.starts) + 1, np.int32)
         np.add.at(depth, starts, 1)
         np.add.at(depth, starts + window, -1)
         gone = np.cumsum(depth[:-1]) > 0
@@ -126,14 +194,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans.append([])
             kept.append(b" ".join(parts))
         return pa.table({
-            id_col: batch.column("__id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            id_col: pa.array(batch.column("ids")[0].as_py(), to_arrow_type(id_type)), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
         })
 
-    blocks = rows.groupBy("__batch").applyInArrow(send, "bucket int, batch int, hashes binary, twice binary")
-    answers = blocks.groupBy("bucket").applyInArrow(count, "batch int, bucket int, bits binary")
-    return rows.groupBy("__batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, f"`{id_col}` {id_type}, n_words long, n_removed long, removed array<struct<first:int,end:int>>, kept_text string")
+    blocks = batches.mapInArrow(send, "bucket int, batch long, high binary, low binary, twice binary")
+    answers = blocks.groupBy("bucket").applyInArrow(count, "batch long, bucket int, bits binary")
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, f"`{id_col}` {id_type.simpleString()}, n_words long, n_removed long, removed array<struct<first:int,end:int>>, kept_text string")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -41,8 +41,7 @@ LANES, STEPS, SCALE = 2048, 256, 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"MTS1"
 FILE_BYTES = 4 << 20
-RANGE_BYTES = 3 << 20
-TASK_RANGES = 8
+RANGE_BYTES = 24 << 20
 CACHE_PARTS = 1_500_000
 BATCH_PARTS = 4096
 BREAK = "\v"  # between parts that are cut together
@@ -323,18 +322,17 @@ def encoder(path: str) -> PartEncoder:
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token files of ``docs`` in ascending ``id_col`` order (nulls first, ties by a hash of the text): a written table of
+    """Token files of ``docs`` in ascending ``id_col`` order (any type that can be ordered; nulls first, ties by a hash of the text): a written table of
     ``range`` and ``part`` (the files' order), ``n_docs``, ``n_ids`` and ``file`` (bytes).
 
-    Documents are dealt into id ranges of about equal size and sorted there; files are cut by text size, so memory
-    is bounded. Null and empty texts have the end id only. An empty table gives no files; other columns are ignored.
+    Documents are dealt into ranges of id, hash and input partition, and sorted there, so that one id or one repeated row can span several ranges; files are
+    cut by text size, so memory is bounded. Null and empty texts have the end id only. An empty table gives no files; other columns are ignored.
     """
     n = max(1, -(-text_bytes(docs, text_col) // RANGE_BYTES))
-    edges = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], min(100 * n, 1_000_000)).alias("e")).first()["e"] if n > 1 else None
-    place = sum((F.when(F.col("id") > F.lit(e), 1).otherwise(0) for e in sorted(set(edges or []))), F.lit(0)) if n <= 64 else F.size(F.filter(F.lit(sorted(set(edges))), lambda e: e < F.col("id")))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("range", F.coalesce(place, F.lit(0)).cast("int")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartition(-(-n // TASK_RANGES), "range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "tie")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("input"))
+    order = [F.col("id").asc_nulls_first(), F.col("tie").asc(), F.col("input").asc()]
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.select(F.spark_partition_id().alias("range"), "id", "text")
     kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,14 +360,14 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
         if held:
             yield close()
 
-    return written(rows.select("range", "id", "text").mapInArrow(run, "range int, part int, n_docs long, n_ids long, file binary"), "token-files")
+    return written(rows.mapInArrow(run, "range int, part int, n_docs long, n_ids long, file binary"), "token-files")
 
 
 def read_files(files: DataFrame, id_col: str, id_type: str) -> DataFrame:
     """Documents of token files: ``id_col``, ``start`` (ids before it in all files), ``n_tokens``, ``ids_crc32``.
 
     Every block is verified; a damaged file raises ``FileError``. Starts come from sums in three levels (files of a
-    range, ranges of a block of 1024, blocks), so no task sees more than a few thousand rows.
+    range, ranges of a block of 1024, blocks), so no task sees more than a few thousand rows. No files give no rows; ids come back as ``id_type``.
     """
     arrow = to_arrow_type(files.sparkSession.createDataFrame([], f"x {id_type}").schema["x"].dataType)
 

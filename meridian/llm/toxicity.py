@@ -6,8 +6,8 @@ and a text's values are scaled to length one. The machine adds to the linear wei
 product of learned vectors for every pair of terms, so that terms that are harmless
 alone (an insult, the mention of a group) can count together.
 
-Training takes at most ``MAX_TRAINING`` labelled rows, those with the smallest hash of
-their id, on the driver; only their hashed features come there. Scoring reads every
+Training takes one text of each of at most ``MAX_TRAINING`` labelled ids, those with the smallest hash, on the driver; only
+hashed features come there, at most ``MAX_FEATURES`` of a text (those with the smallest slots). Scoring reads every
 whole text, and the model it broadcasts has a fixed size.
 """
 
@@ -29,6 +29,7 @@ BITS = 18
 SLOTS = 1 << BITS
 FACTORS = 4
 MAX_TRAINING = 12_000
+MAX_FEATURES = 8192  # of a training text; slots are hashes, so the smallest are as good as any
 PRIOR = 100.0  # pseudo-rows of a slot's class ratio, so that rare terms count little
 SCAN_BYTES = 1 << 20
 
@@ -117,9 +118,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: float
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING) -> Model:
-    """A model of ``label_col`` (0 or 1) from at most ``max_rows`` rows of ``labels``; ids without a text are left out.
+    """A model of ``label_col`` (0 or 1) from one text of each of at most ``max_rows`` ids of ``labels``; ids without a row in ``docs`` are left out.
 
-    Null labels and ids are ignored; of an id labelled twice the larger label counts. No usable rows give a constant model.
+    Null labels and ids are ignored; of an id labelled twice the larger label counts, and of several texts of an id the one with the smallest hash.
+    No usable rows give a constant model.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_rows)
@@ -128,11 +130,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in by_size(batches, "text", SCAN_BYTES):
             slots, counts = features(batch.column("text"))
             parts = np.split(slots, np.cumsum(counts)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "label", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), batch.column("text_hash"), pa.array([p[:MAX_FEATURES].tobytes() for p in parts], pa.binary())], ["id", "label", "text_hash", "slots"])
 
     # at most max_rows pairs of an id and a label
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = sorted(rows.select("id", "text", "label").mapInArrow(run, "id string, label int, slots binary").collect(), key=lambda r: (r["id"], bytes(r["slots"])))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).join(F.broadcast(chosen), "id")
+    rows = rows.select("id", "text", "label", "text_hash").mapInArrow(run, "id string, label int, text_hash long, slots binary")
+    rows = rows.groupBy("id").agg(F.first("label").alias("label"), F.min_by("slots", F.struct("text_hash", "slots")).alias("slots"))
+    found = sorted(rows.collect(), key=lambda r: r["id"])  # one row per chosen id
     return fit([np.frombuffer(r["slots"], np.int32) for r in found], np.array([r["label"] for r in found], np.float64))
 
 

@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +55,7 @@ class ArcRecord(NamedTuple):
 def write_arc(records: list[tuple[str, str, str, bytes]], version: int, name: str = "pages.arc", date: str = "20000101000000") -> bytes:
     """An ARC file of (url, ip, content type, body) records."""
     about = b"%d 0 Meridian\n" % version + FIELD_LINES[version]
-    clean = lambda x: re.sub(r"\s", lambda m: "%%%02X" % ord(m[0]), x) or "-"
+    clean = lambda x: re.sub(r"\s", lambda m: quote(m[0], safe=""), x) or "-"
 
     def line(url: str, ip: str, kind: str, size: int) -> bytes:
         values = {"url": clean(url), "ip": ip, "date": date, "type": clean(kind), "status": "200", "checksum": "-", "location": "-", "offset": "0", "file": name, "length": str(size)}
@@ -122,19 +123,24 @@ def split_http(body: bytes) -> tuple[bytes, bytes]:
 
 
 def to_warc(record: ArcRecord, name: str | None, refers_to: str | None) -> bytes:
-    """The WARC record of an ARC record. ``name`` identifies its row; with ``refers_to`` (another row) it is a revisit."""
+    """The WARC record of an ARC record. ``name`` identifies its row (null: none); with ``refers_to`` (another row) it is a revisit.
+
+    Row names are percent-encoded in their headers; a row without a name has no such header.
+    """
     http, payload = split_http(record.body)
-    key, code = "null" if name is None else name, digest(payload)
+    key, code = "" if name is None else "row " + name, digest(payload)
     kind = "revisit" if refers_to is not None else "response" if http else "resource"
     block = http if kind == "revisit" else record.body
     headers = [
         ("WARC-Type", kind), ("WARC-Record-ID", record_id(f"{key}:{code}")), ("WARC-Date", iso_date(record.fields["date"])),
-        ("WARC-Target-URI", record.fields["url"]), ("WARC-IP-Address", record.fields["ip"]), ("WARC-Source-Row", key),
+        ("WARC-Target-URI", record.fields["url"]), ("WARC-IP-Address", record.fields["ip"]),
         ("WARC-Payload-Digest", f"sha1:{code}"), ("WARC-Payload-Length", str(len(payload))), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("Content-Type", "application/http; msgtype=response" if http else record.fields["type"]), ("Content-Length", str(len(block))),
     ]
+    if name is not None:
+        headers.append(("WARC-Source-Row", quote(name, safe="")))
     if refers_to is not None:
-        headers[2:2] = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(f"{refers_to}:{code}")), ("WARC-Refers-To-Row", refers_to)]
+        headers[2:2] = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(f"row {refers_to}:{code}")), ("WARC-Refers-To-Row", quote(refers_to, safe=""))]
     head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
     return head.encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
@@ -162,8 +168,10 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ArchiveError("bad record")
         if headers["WARC-Block-Digest"] != f"sha1:{digest(block)}":
             raise ArchiveError("a block's digest differs")
-        if headers["WARC-Type"] != "revisit" and headers["WARC-Payload-Digest"] != f"sha1:{digest(split_http(block)[1])}":
-            raise ArchiveError("a payload's digest differs")
+        if headers["WARC-Type"] != "revisit":
+            payload = split_http(block)[1]
+            if headers["WARC-Payload-Digest"] != f"sha1:{digest(payload)}" or headers["WARC-Payload-Length"] != str(len(payload)):
+                raise ArchiveError("a payload's digest or length differs")
         yield headers, block
 
 
@@ -200,17 +208,21 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_archives(archives: DataFrame, id_col: str = "page_id", id_type: str = "bigint") -> DataFrame:
-    """One row per archived record: ``id_col``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``."""
+    """One row per archived record: ``id_col``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
+
+    Digests and lengths of stored payloads are verified; a revisit, which stores none, has those of the payload that it refers to. A damaged archive raises ``ArchiveError``.
+    """
+    row = lambda x: None if x is None else unquote(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body in batch.column("body"):
                 heads = [headers for headers, _ in read_warc(body.as_py())]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([None if h["WARC-Source-Row"] == "null" else h["WARC-Source-Row"] for h in heads], pa.string()),
+                    pa.array([row(h.get("WARC-Source-Row")) for h in heads], pa.string()),
                     pa.array([int(h["WARC-Payload-Length"]) for h in heads], pa.int64()),
                     pa.array([h["WARC-Payload-Digest"].removeprefix("sha1:") for h in heads], pa.string()),
-                    pa.array([h["WARC-Type"] for h in heads], pa.string()), pa.array([h.get("WARC-Refers-To-Row") for h in heads], pa.string()),
+                    pa.array([h["WARC-Type"] for h in heads], pa.string()), pa.array([row(h.get("WARC-Refers-To-Row")) for h in heads], pa.string()),
                 ], ["row", "payload_bytes", "payload_digest", "record_type", "top"])
 
     found = archives.select("body").mapInArrow(run, "row string, payload_bytes long, payload_digest string, record_type string, top string")

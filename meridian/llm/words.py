@@ -18,8 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20  # bytes scanned at a time
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses; two bases give independent hashes
 
 
 def byte_table(separators: bytes) -> np.ndarray:
@@ -59,20 +58,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    """Powers of a hash base and of its inverse, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            up, down = np.full(n, _BASE), np.full(n, _INVERSE)
+            up, down = np.full(n, self.base), np.full(n, self.inverse)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_POWERS = [_Powers(b) for b in BASES]
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,8 +116,8 @@ def _pieces(data: np.ndarray, word: np.ndarray, cuts: np.ndarray) -> Iterator[tu
         a = b
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, fold: np.ndarray | None = None) -> Words:
-    """All words of the texts that ``offsets`` cuts ``data`` into, hashed after ``fold``."""
+def scan(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, fold: np.ndarray | None = None, both: bool = False) -> Words:
+    """All words of the texts that ``offsets`` cuts ``data`` into, hashed after ``fold``; with ``both``, hashes by either base stand in two columns."""
     starts, ends, hashes = [], [], []
     for a, b in _pieces(data, word, offsets):
         raw = data[a:b]
@@ -131,20 +131,22 @@ def scan(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, fold:
         inner = cut[(cut > 0) & (cut <= b - a)] - 1
         last[inner] |= inside[inner]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _POWERS.upto(b - a + 1)
         value = (raw if fold is None else fold[raw]).astype(np.uint64)
         value += np.uint64(1)
-        value *= up[: b - a]
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(value, out=total[1:])
-        h = (total[e] - total[s]) * down[s]
-        h += (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        found = []
+        for powers in _POWERS if both else _POWERS[:1]:
+            up, down = powers.upto(b - a + 1)
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(value * up[: b - a], out=total[1:])
+            h = (total[e] - total[s]) * down[s]
+            h += (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            found.append(mix(h))
         starts.append(s + a)
         ends.append(e + a)
-        hashes.append(mix(h))
+        hashes.append(np.stack(found, 1) if both else found[0])
     if not starts:
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        return Words(none, none, np.zeros((0, 2) if both else 0, np.uint64), np.zeros(len(offsets), np.int64))
     s = np.concatenate(starts)
     return Words(s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(s, offsets, "left"))
 
@@ -155,12 +157,12 @@ def hash_word(word: bytes) -> int:
     return int(scan(data, np.array([0, len(data)]), np.ones(256, bool)).hashes[0])
 
 
-def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, k: int, base: int = 0) -> np.ndarray:
     """Rabin-Karp hashes of all runs of k words; runs over text ends are included and must be masked."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _POWERS.upto(len(hashes) + 1)
+    up, down = _POWERS[base].upto(len(hashes) + 1)
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=total[1:])
     return mix((total[k:] - total[:-k]) * down[:n])
