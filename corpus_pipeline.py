@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import bpe, decontaminate, ngram_join, secrets, toxicity
-from meridian.llm.frames import BATCH_BYTES, written
+from meridian.llm.frames import small_batches, written
 
 SECRET = "[SECRET]"
 ARROW_BYTES = 8 << 20
 
 
-def _bounded(spark: SparkSession) -> None:
-    """Arrow batches of whole rows are bounded by bytes, not only by rows, for this session: the stages' results are computed later."""
-    spark.conf.set(BATCH_BYTES, str(ARROW_BYTES))
+def _finished(stage: DataFrame, name: str) -> DataFrame:
+    """A stage's result, computed and written now: Arrow batches of whole rows are bounded by bytes meanwhile, and the session's setting is as before afterwards."""
+    with small_batches(stage.sparkSession, ARROW_BYTES):
+        return written(stage, name)
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -35,42 +36,69 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model (trained on ``labels``, without its held-out fold) does not reject."""
-    _bounded(spark)
+    """Documents that the toxicity model (trained on ``labels``, without its held-out fold) does not reject; all columns are kept.
+
+    Null and empty texts have no features: they get the model's bias and stay unless label 1 is the commoner one. Null, tied and repeated ids
+    are rows of their own; a very long text is scored whole; an empty table stays empty; without usable labels nothing is rejected
+    unless the labels seen are mostly 1.
+    """
     plain, names = _plain(docs)
-    kept = toxicity.score(plain, toxicity.trained(spark, docs, sf_dir), keep=("text", *names)).where("predicted = 0")
-    return kept.drop("score", "predicted").withColumnsRenamed(names).select(docs.columns)
+    with small_batches(spark, ARROW_BYTES):
+        model = toxicity.trained(spark, docs, sf_dir)
+    kept = toxicity.score(plain, model, keep=("text", *names)).where("predicted = 0")
+    return _finished(kept.drop("score", "predicted").withColumnsRenamed(names).select(docs.columns), "toxicity")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of at least 80 per cent of five-word shingles connect: the smallest id."""
-    _bounded(spark)
-    return ngram_join.keep_one(docs, n=5, percent=80).select(docs.columns)
+    """One document of each group that links of at least 80 per cent of five-word shingles connect: the smallest id (nulls last), then the smallest text hash.
+
+    Null, empty and blank texts link with nothing and all stay; a text of fewer than five words is one shingle; of rows that agree in id and text one
+    stays; an empty table stays empty; all columns are kept, whatever their names.
+    """
+    plain, names = _plain(docs)
+    return _finished(ngram_join.keep_one(plain, n=5, percent=80).withColumnsRenamed(names).select(docs.columns), "near-duplicates")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten-word window of ``benchmark``."""
-    _bounded(spark)
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    """Documents without any ten-word window of ``benchmark`` (all words of a shorter item); all columns are kept.
+
+    Null and empty texts hold nothing and stay; null, tied and repeated ids are rows of their own (rows that agree in id and text share their fate);
+    items without text match nothing; an empty table, of documents or benchmark, drops nothing.
+    """
+    plain, names = _plain(docs)
+    with small_batches(spark, ARROW_BYTES):
+        kept = decontaminate.drop_contaminated(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _finished(kept.withColumnsRenamed(names).select(docs.columns), "decontamination")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced and ``n_chars`` counted anew where the text changed."""
-    _bounded(spark)
+    """All documents, with secrets replaced and, if there is a column ``n_chars``, characters counted anew where the text changed.
+
+    Null and empty texts stay as they are; null, tied and repeated ids are rows of their own; a very long text is searched whole; an empty table stays empty; other
+    columns are kept, whatever their names.
+    """
     plain, names = _plain(docs)
     found = secrets.find_secrets(plain, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("text", *names), redact=SECRET)
-    size = next(new for new, old in names.items() if old == "n_chars")
-    counted = F.when(F.size("spans") > 0, F.char_length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(size))
-    found = found.withColumns({size: counted, "text": F.col("redacted")}).drop("spans", "redacted")
-    return found.withColumnsRenamed(names).select(docs.columns)
+    for new, old in names.items():
+        if old == "n_chars":
+            counted = F.char_length("redacted").cast(docs.schema["n_chars"].dataType)
+            found = found.withColumn(new, F.when(F.size("spans") > 0, counted).otherwise(F.col(new)))
+    found = found.withColumn("text", F.col("redacted")).drop("spans", "redacted")
+    return _finished(found.withColumnsRenamed(names).select(docs.columns), "secrets")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text (little-endian unsigned 32-bit integers), their number, and a digest of the decoding."""
-    _bounded(spark)
-    docs = docs.select("doc_id", "text", "lang", "source")
-    out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("lang", "source"))
-    return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id``, every other column but the text, and of every whole text the token ids (little-endian unsigned 32-bit integers), their number, and a digest of the decoding.
+
+    Null and empty texts have no ids; null, tied and repeated ids are rows of their own; an empty table gives an empty result. A column that is
+    called like one of the results (``n_tokens``, ``ids``, ``decoded_sha256``) gives way to it.
+    """
+    made = ("n_tokens", "ids", "decoded_sha256")
+    plain, names = _plain(docs)
+    names = {new: old for new, old in names.items() if old not in made}
+    out = bpe.encode_decode(plain, public_tokenizers.path("word_bpe_49k.json"), keep=tuple(names))
+    out = out.select("doc_id", *names, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _finished(out.withColumnsRenamed(names), "bpe")
 
 
 STAGES = [
@@ -85,8 +113,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; each returns a table that it has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
