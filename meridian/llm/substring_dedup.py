@@ -9,7 +9,7 @@ a third of the corpus thus costs each bucket one entry per batch, not one per
 occurrence; rows are dealt by place, not by content, and no pairs are formed.
 
 There is a block for each batch and bucket that share a hash, so there are never more blocks than distinct windows of batches: their number
-grows with batches times buckets until a block holds one hash (about 100,000 batches, some 800 GB), and in proportion to the input from there on.
+grows with batches times buckets until a block holds one hash (about 400,000 batches, some 1.6 TB), and in proportion to the input from there on.
 
 Two different windows share a 96-bit hash with a chance of about n*n / 2**97 over n windows: 2e-10 for the 5e9 of 30 GB, 0.003 for
 the 2e13 of 100 TB. Words are compared through the same pair of bases, as 128 bits.
@@ -27,22 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meridian.llm.frames import text_bytes, written
-from meridian.llm.words import by_size, rolling, scan, text_buffer, whole_runs
+from meridian.llm.frames import small_batches, text_bytes, written
+from meridian.llm.words import by_size, give_back, rolling, scan, text_buffer, whole_runs
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 
 
 class Windows:
-    """The words of a batch, where its windows start, its distinct windows in order of their hash pairs, and which of them each window is."""
+    """Each text's first word in a batch, the words at which its windows start, its distinct windows in order of their hash pairs, and which of them each window is."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, n_buckets: int) -> None:
-        self.words = scan(data, offsets, both=True)
-        n = len(self.words.hashes)
-        self.at = np.flatnonzero(whole_runs(self.words.first, window, n))
-        high, low = (rolling(np.ascontiguousarray(self.words.hashes[:, k]), window, k)[self.at] for k in (0, 1))
-        low = (low >> np.uint64(32)).astype(np.uint32)
+        words = scan(data, offsets, both=True)
+        self.first, n = words.first, len(words.hashes)
+        self.at = np.flatnonzero(whole_runs(self.first, window, n))
+        high = rolling(np.ascontiguousarray(words.hashes[:, 0]), window, 0)[self.at]
+        low = (rolling(np.ascontiguousarray(words.hashes[:, 1]), window, 1) >> np.uint64(32)).astype(np.uint32)[self.at]
+        del words
         order = ordered(high, low)
         high, low = high[order], low[order]
         new = differ(high, low)
@@ -170,29 +171,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batch: pa.Table, answers: pa.Table) -> pa.Table:
         data, offsets = _texts(batch, 0)
         found = Windows(data, offsets, window, n_buckets)
-        words, repeated = found.words, np.zeros(len(found.high), bool)
+        first, repeated = found.first, np.zeros(len(found.high), bool)
         place = {int(b): k for k, b in enumerate(found.full)}
         for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
             a, b = found.cuts[place[bucket]], found.cuts[place[bucket] + 1]
             repeated[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
         starts = found.at[repeated[found.inverse]]
-        depth = np.zeros(len(words.starts) + 1, np.int32)
+        depth = np.zeros(int(first[-1]) + 1, np.int32)
         np.add.at(depth, starts, 1)
         np.add.at(depth, starts + window, -1)
         gone = np.cumsum(depth[:-1]) > 0
         before = np.concatenate([[0], np.cumsum(gone)])
-        n_words, n_removed = np.diff(words.first), before[words.first[1:]] - before[words.first[:-1]]
+        n_words, n_removed = np.diff(first), before[first[1:]] - before[first[:-1]]
+        del found, starts, depth, repeated
         raw, kept, spans = data.tobytes(), [], []
         for d in range(len(n_words)):
             parts = raw[offsets[d] : offsets[d + 1]].split()
             if n_removed[d]:
-                mask = gone[words.first[d] : words.first[d + 1]].astype(np.int8)
+                mask = gone[first[d] : first[d + 1]].astype(np.int8)
                 turns = np.flatnonzero(np.diff(mask, prepend=0, append=0))
                 spans.append([{"first": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])])
                 parts = [x for x, m in zip(parts, mask) if not m]
             else:
                 spans.append([])
             kept.append(b" ".join(parts))
+        give_back()
         return pa.table({
             id_col: pa.array(batch.column("ids")[0].as_py(), to_arrow_type(id_type)), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
@@ -200,7 +203,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         })
 
     blocks = batches.mapInArrow(send, "bucket int, batch long, high binary, low binary, twice binary")
-    answers = blocks.groupBy("bucket").applyInArrow(count, "batch long, bucket int, bits binary")
+    with small_batches(docs.sparkSession):
+        answers = written(blocks.groupBy("bucket").applyInArrow(count, "batch long, bucket int, bits binary"), "repeated")
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, f"`{id_col}` {id_type.simpleString()}, n_words long, n_removed long, removed array<struct<first:int,end:int>>, kept_text string")
 
 
