@@ -32,6 +32,7 @@ from meridian.llm.words import by_size, give_back, rolling, scan, text_buffer, w
 
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
+LEVEL = 9  # of the texts' compression: they are written once and shuffled once
 
 
 class Windows:
@@ -98,12 +99,12 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        task, codec = TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=LEVEL)
         for place, batch in enumerate(gathered(batches)):
             data, offsets = text_buffer(batch.column("text"))
             yield pa.RecordBatch.from_arrays([
                 pa.array([(task << 32) + place], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(to_arrow_type(kind))), pa.array([np.diff(offsets).astype(np.int64).tobytes()], pa.binary()),
-                pa.array([len(data)], pa.int64()), pa.array([pa.compress(pa.py_buffer(data.tobytes()), "zstd", asbytes=True)], pa.binary()),
+                pa.array([len(data)], pa.int64()), pa.array([codec.compress(data.tobytes(), asbytes=True)], pa.binary()),
             ], ["batch", "ids", "sizes", "n", "texts"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
