@@ -45,7 +45,7 @@ CHUNK = 1 << 14
 HASH = np.uint64((1 << 58) - 1)
 CAP = 256
 FEW = 100_000
-FAMILY = 4000
+FAMILY = 256
 FAMILY_GRAMS = 8 << 20
 LEVEL_BITS = 20  # weights are integers, so that a level does not depend on what stands before an n-gram
 SCAN_BYTES = 1 << 20
