@@ -13,11 +13,13 @@ def by_day() -> WindowSpec:
 
 
 def rank_average(x: Column, *keys: str) -> Column:
-    """Rank of a value among the non-null ones of its day (and keys); ties share their mean rank."""
-    day = ["di", *keys]
-    ranked = F.rank().over(Window.partitionBy(*day, x.isNull()).orderBy(x))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*day, x))
-    return F.when(x.isNotNull(), ranked + (ties - 1) / F.lit(2.0))
+    """Rank of a value among the non-null ones of its day (and keys); ties share their mean rank.
+
+    Rank and number of ties come from one window specification, so a day is dealt and sorted once.
+    """
+    order = Window.partitionBy("di", *keys).orderBy(x.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), F.rank().over(order) + (ties - 1) / F.lit(2.0))
 
 
 def rank_pct(x: Column, *keys: str) -> Column:

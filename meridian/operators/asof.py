@@ -32,14 +32,25 @@ def pit_fill(events: DataFrame, calendar: DataFrame, grid: DataFrame) -> DataFra
     order = ["pub_date", "report_date", "value"]
     seen = Window.partitionBy("code").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fresh = usable.withColumn("newest", F.max("report_date").over(seen)).where("report_date = newest")
+    first = calendar.agg(F.min("date").alias("d")).first()["d"]
     days = calendar.select("di", "date", F.lag("date").over(Window.orderBy("date")).alias("before"))
-    # an event falls between a day and the one before it; the calendar is one row per day
-    dated = fresh.join(F.broadcast(days), (F.col("date") > F.col("pub_date")) & (F.col("before").isNull() | (F.col("before") <= F.col("pub_date"))))
+    # publication dates from one calendar day to the eve of the next count from that next day: a row per natural day
+    effective = days.select("di", F.explode(F.sequence(F.coalesce("before", F.date_sub("date", 1)), F.date_sub("date", 1))).alias("known_on"))
+    dated = fresh.withColumn("known_on", F.greatest("pub_date", F.date_sub(F.lit(first), 1))).join(F.broadcast(effective), "known_on")
     last = dated.groupBy("di", "code").agg(F.max_by("value", F.struct(*order)).alias("event"))
     filled = grid.select("di", "date", "code").join(last, ["di", "code"], "left")
     return filled.select("di", "date", "code", forward_fill(F.col("event")).alias("value"))
 
 
+def latest_known(series: DataFrame, days: DataFrame, column: str = "value", floor: float | None = None) -> DataFrame:
+    """``di`` and ``column`` for every day: the last value of the series on or before it; before the first there is none. With ``floor``, missing and smaller values become it."""
+    both = days.select("di", F.lit(None).cast("double").alias(column), F.lit(1).alias("asked")).unionByName(series.select("di", column, F.lit(0).alias("asked")))
+    order = Window.orderBy("di", "asked").rowsBetween(Window.unboundedPreceding, 0)  # one row per day and value of one series
+    found = both.select("di", "asked", F.last(column, ignorenulls=True).over(order).alias(column)).where("asked = 1")
+    value = F.col(column) if floor is None else F.greatest(F.coalesce(column, F.lit(floor)), F.lit(floor))
+    return found.select("di", value.alias(column))
+
+
 def next_day(calendar: DataFrame) -> DataFrame:
     """``di, next_di``: the execution day of each signal day; null for the last."""
     return calendar.select("di", F.lead("di").over(Window.orderBy("di")).alias("next_di"))

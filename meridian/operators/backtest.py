@@ -1,7 +1,8 @@
 """Layered backtests with costs, without and with tradability, and their metrics.
 
-Without masks a leg's history is relational: its members on a rebalance day are the whole state. With masks the held set depends on the
-one before it, so each leg is folded over days in Python, over the rows that can matter.
+Both kinds come down to intervals: a leg's names with the day since which each is held and the day it is given up. Without masks the intervals are the
+rebalances themselves. With masks a name's interval depends on its own past alone, so names are folded side by side in slices of a leg,
+and returns, costs and turnover are sums over intervals in Spark.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from meridian.functions.xs import rank_pct
 
 YEAR_DAYS = 252
 LEGS = ("top", "bottom")
+SLICES = 16  # groups of names of a leg that are folded apart
 
 
 def _aligned(factor: DataFrame, fwd1: DataFrame) -> DataFrame:
@@ -23,12 +25,23 @@ def _aligned(factor: DataFrame, fwd1: DataFrame) -> DataFrame:
     return days.select("di", (F.row_number().over(Window.orderBy("di")) - 1).alias("i"))
 
 
-def _legs(factor: DataFrame, q: int) -> DataFrame:
-    """``di, code, leg`` of the names above 1 - 1/q and of those up to 1/q by percentile rank."""
-    pct = factor.select("di", "code", rank_pct(F.col("value")).alias("p")).where("p IS NOT NULL")
-    top, bottom = F.col("p") > 1 - 1 / q, F.col("p") <= 1 / q
-    both = F.array(F.when(top, F.lit("top")), F.when(bottom, F.lit("bottom")))
-    return pct.select("di", "code", F.explode(F.array_compact(both)).alias("leg"))
+def _legs(factor: DataFrame, days: DataFrame, q: int, rebal_days: int) -> DataFrame:
+    """``leg, i, di, code`` on rebalance days: the names above 1 - 1/q and those up to 1/q by percentile rank. Only those days are ranked."""
+    chosen = factor.join(F.broadcast(days.where(F.col("i") % rebal_days == 0)), "di")
+    pct = chosen.select("di", "i", "code", rank_pct(F.col("value")).alias("p")).where("p IS NOT NULL")
+    both = F.array(F.when(F.col("p") > 1 - 1 / q, F.lit("top")), F.when(F.col("p") <= 1 / q, F.lit("bottom")))
+    return pct.select("di", "i", "code", F.explode(F.array_compact(both)).alias("leg"))
+
+
+def _with_spread(legs: DataFrame) -> DataFrame:
+    """The legs (``di, leg, ret, turnover``) and their difference ``ls`` on days that both have, from one row per day."""
+    pick = lambda leg, c: F.max(F.when(F.col("leg") == leg, F.col(c)))
+    wide = legs.groupBy("di").agg(*[pick(x, "ret").alias(x) for x in LEGS], *[pick(x, "turnover").alias(f"{x}_turnover") for x in LEGS], *[F.max(F.col("leg") == x).alias(f"{x}_there") for x in LEGS])
+    row = lambda leg, there, ret, turnover: F.when(there, F.struct(F.lit(leg).alias("leg"), ret.alias("ret"), turnover.alias("turnover")))
+    top, bottom = F.col("top"), F.col("bottom")
+    rows = [row(x, F.col(f"{x}_there"), F.col(x), F.col(f"{x}_turnover")) for x in LEGS]
+    rows.append(row("ls", top.isNotNull() & bottom.isNotNull(), top - bottom, F.lit(None).cast("double")))
+    return wide.select("di", F.inline(F.array_compact(F.array(*rows))))
 
 
 def layered_backtest(factor: DataFrame, fwd1: DataFrame, q: int = 5, rebal_days: int = 5, cost_bps: float = 15.0, impact_bps: float = 0.0) -> DataFrame:
@@ -39,67 +52,77 @@ def layered_backtest(factor: DataFrame, fwd1: DataFrame, q: int = 5, rebal_days:
     """
     rate = (cost_bps + impact_bps) / 1e4
     days = _aligned(factor, fwd1)
-    members = _legs(factor, q).join(F.broadcast(days.where(F.col("i") % rebal_days == 0)), "di").select("leg", "di", "code")
-    dates = members.select("leg", "di").distinct()
-    order = Window.partitionBy("leg").orderBy("di")
-    dates = dates.select("leg", "di", F.lag("di").over(order).alias("last"), F.lead("di").over(order).alias("until"))
-    stays = members.join(dates.select("leg", "di", "last"), ["leg", "di"]).alias("a").join(members.select("leg", F.col("di").alias("last"), "code").alias("b"), ["leg", "last", "code"], "left_semi")
-    kept = stays.groupBy("leg", "di").agg(F.count(F.lit(1)).alias("kept"))
-    size = members.groupBy("leg", "di").agg(F.count(F.lit(1)).alias("n")).join(kept, ["leg", "di"], "left").join(dates, ["leg", "di"])
-    turnover = F.when(F.col("last").isNull(), 1.0).otherwise(1.0 - F.coalesce("kept", F.lit(0)) / F.col("n"))
-    turns = size.select("leg", "di", "until", turnover.alias("turnover"))
-    # one row per rebalance and leg against the calendar
-    held = days.select("di").join(F.broadcast(turns.select("leg", F.col("di").alias("since"), "until")), (F.col("di") >= F.col("since")) & (F.col("until").isNull() | (F.col("di") < F.col("until"))))
-    y = fwd1.select("di", "code", F.col("value").alias("y")).where("y IS NOT NULL")
-    daily = held.join(members.withColumnRenamed("di", "since"), ["leg", "since"]).join(y, ["di", "code"], "left").groupBy("leg", "di").agg(F.avg("y").alias("gross"))
-    daily = daily.join(turns.select("leg", "di", "turnover"), ["leg", "di"], "left")
+    members = _legs(factor, days, q, rebal_days)
+    order = Window.partitionBy("leg").orderBy("i")
+    # rebalances with a target: one row per leg and rebalance
+    dates = members.groupBy("leg", "i").agg(F.count(F.lit(1)).alias("size")).select("leg", "i", F.row_number().over(order).alias("k"), F.lead("i").over(order).alias("until"))
+    last = days.agg(F.max("i").alias("end")).first()["end"]
+    spans = members.join(F.broadcast(dates), ["leg", "i"])
+    kept = F.coalesce(F.lag("k").over(Window.partitionBy("leg", "code").orderBy("k")) == F.col("k") - 1, F.lit(False))
+    spans = spans.select("leg", "code", "k", "i", kept.alias("kept"), F.explode(F.sequence("i", F.coalesce("until", F.lit((last or 0) + 1)) - 1)).alias("at"))
+    y = fwd1.select("di", "code", F.col("value").alias("y"))
+    cells = spans.join(F.broadcast(days.withColumnRenamed("i", "at")), "at").join(y, ["di", "code"], "left")
+    first = F.col("at") == F.col("i")
+    daily = cells.groupBy("di", "leg").agg(F.avg("y").alias("gross"), F.min("k").alias("k"), F.count_if(first).alias("new"), F.count_if(first & F.col("kept")).alias("stay"))
+    turnover = F.when(F.col("new") > 0, F.when(F.col("k") == 1, 1.0).otherwise(1.0 - F.col("stay") / F.col("new")))
+    legs = daily.select("di", "leg", "gross", turnover.alias("turnover"))
     cost = F.coalesce(F.col("turnover") * (2 * rate), F.lit(0.0))
-    legs = daily.select("di", "leg", F.when(F.col("gross").isNotNull(), F.col("gross") - cost).when(F.col("turnover").isNotNull(), -cost).alias("ret"), "turnover")
-    return with_spread(legs)
-
-
-def with_spread(legs: DataFrame) -> DataFrame:
-    """The legs and their difference ``ls`` on days that both have."""
-    wide = legs.groupBy("di").agg(*[F.max(F.when(F.col("leg") == x, F.col("ret"))).alias(x) for x in LEGS])
-    spread = wide.where("top IS NOT NULL AND bottom IS NOT NULL").select("di", F.lit("ls").alias("leg"), (F.col("top") - F.col("bottom")).alias("ret"), F.lit(None).cast("double").alias("turnover"))
-    return legs.unionByName(spread)
-
-
-def _fold(rate: float, rebal_days: int):
-    """The day-by-day accounting of one leg under masks."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        leg = rows["leg"].iloc[0]
-        target = {int(d): set(g) for d, g in rows.loc[rows["target"]].groupby("i")["code"]}
-        stuck = {"can_buy": set(), "can_sell": set()}
-        for side in stuck:
-            blocked = rows.loc[rows[side] == False, ["i", "code"]]  # noqa: E712 - nulls are tradable
-            stuck[side] = set(zip(blocked["i"], blocked["code"]))
-        y = {(int(i), c): v for i, c, v in rows.loc[rows["y"].notna(), ["i", "code", "y"]].itertuples(index=False)}
-        out, held, waiting = [], set(), set()
-        for i, di in sorted(set(zip(rows["i"], rows["di"]))):
-            cost, turnover = None, np.nan
-            leaving = {c for c in waiting if (i, c) not in stuck["can_sell"]}
-            if leaving:
-                cost = rate * len(leaving) / len(held)
-                held, waiting = held - leaving, waiting - leaving
-            if i % rebal_days == 0 and target.get(i):
-                wanted = target[i]
-                bought = {c for c in wanted - held if (i, c) not in stuck["can_buy"]}
-                kept_back = {c for c in held - wanted if (i, c) in stuck["can_sell"]}
-                sold = held - wanted - kept_back
-                after = (held & wanted) | bought | kept_back
-                if after:
-                    n = len(bought) + len(sold)
-                    turnover, cost = n / (2 * len(after)), (cost or 0.0) + rate * n / len(after)
-                    held, waiting = after, kept_back
-            got = [y[i, c] for c in sorted(held) if (i, c) in y]
-            gross = float(np.mean(got)) if got else None
-            if gross is not None or cost is not None:
-                out.append((int(di), leg, (gross or 0.0) - (cost or 0.0), turnover))
-        return pd.DataFrame(out, columns=["di", "leg", "ret", "turnover"])
-
-    return run
+    return _with_spread(legs.select("di", "leg", F.when(F.col("gross").isNotNull(), F.col("gross") - cost).when(F.col("turnover").isNotNull(), -cost).alias("ret"), "turnover"))
+
+
+def _intervals(cells: DataFrame, n_days: int) -> DataFrame:
+    """``leg, code, since, until, late``: when each name of a leg is held; ``late`` if it was given up between rebalances, null if never.
+
+    ``cells`` has ``leg, slice, i, code, active, wanted, can_buy, can_sell`` for every day of every name that is ever wanted.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(rows["code"].to_numpy(), return_inverse=True)
+        day = rows["i"].to_numpy()
+        table = {c: np.zeros((n_days, len(names)), bool) for c in ("active", "wanted", "can_buy", "can_sell")}
+        for c, values in table.items():
+            values[day, at] = rows[c].to_numpy()
+        since, waiting = np.full(len(names), -1), np.zeros(len(names), bool)
+        out: list[tuple[np.ndarray, np.ndarray, int, bool | None]] = []
+
+        def close(which: np.ndarray, i: int, late: bool | None) -> None:
+            if which.any():
+                out.append((np.flatnonzero(which), since[which].copy(), i, late))
+                since[which] = -1
+
+        for i in range(n_days):
+            active, wanted, buy, sell = (table[c][i] for c in table)
+            close(waiting & sell, i, True)
+            waiting &= ~sell
+            held = since >= 0
+            unwanted = active & held & ~wanted
+            close(unwanted & sell, i, False)
+            waiting = np.where(active, unwanted & ~sell, waiting)
+            since[active & wanted & ~held & buy] = i
+        close(since >= 0, n_days, None)
+        flat = [(names[k], int(s), i, late) for ks, starts, i, late in out for k, s in zip(ks, starts)]
+        found = pd.DataFrame(flat, columns=["code", "since", "until", "late"])
+        found.insert(0, "leg", rows["leg"].iloc[0])
+        return found.astype({"late": "boolean"})
+
+    return cells.groupBy("leg", "slice").applyInPandas(fold, "leg string, code string, since int, until int, late boolean")
+
+
+def _accounted(spans: DataFrame, days: DataFrame, active: DataFrame, fwd1: DataFrame, n_days: int, rate: float) -> DataFrame:
+    """``leg, i, di, gross, held, turnover, cost, emptied``: what intervals earn and cost, by day, in one aggregate over the days of the intervals."""
+    end = F.least(F.col("until"), F.lit(n_days - 1))
+    cells = spans.select("leg", "code", "since", "until", "late", F.explode(F.sequence("since", end)).alias("i")).join(F.broadcast(days.select("i", "di")), "i")
+    cells = cells.join(fwd1.select("di", "code", F.col("value").alias("y")), ["di", "code"], "left")
+    inside, out = F.col("i") < F.col("until"), F.col("i") == F.col("until")
+    events = cells.groupBy("leg", "i").agg(F.avg(F.when(inside, F.col("y"))).alias("gross"), F.count_if(inside).alias("held"), F.count_if(F.col("i") == F.col("since")).alias("bought"), F.count_if(out & ~F.col("late")).alias("sold"), F.count_if(out & F.col("late")).alias("late"))
+    # a row per leg and day
+    every = days.select("i", "di", F.explode(F.array(*[F.lit(x) for x in LEGS])).alias("leg")).join(events, ["leg", "i"], "left").join(active.withColumn("active", F.lit(True)), ["leg", "i"], "left").fillna(0, ["held", "bought", "sold", "late"])
+    every = every.withColumn("before", F.coalesce(F.lag("held").over(Window.partitionBy("leg").orderBy("i")), F.lit(0)))
+    traded, turned = F.col("bought") + F.col("sold"), F.col("active") & (F.col("held") > 0)
+    late = F.when(F.col("late") > 0, rate * F.col("late") / F.col("before"))
+    now = F.when(turned, rate * traded / F.col("held"))
+    cost = F.when(late.isNotNull() | now.isNotNull(), F.coalesce(late, F.lit(0.0)) + F.coalesce(now, F.lit(0.0)))
+    return every.select("leg", "i", "di", "gross", "held", F.when(turned, traded / (2 * F.col("held"))).alias("turnover"), cost.alias("cost"), (F.col("active") & (F.col("held") == 0) & (F.col("sold") > 0)).alias("emptied"))
 
 
 def layered_backtest_masked(factor: DataFrame, fwd1: DataFrame, masks: DataFrame, q: int = 5, rebal_days: int = 5, cost_bps: float = 15.0, impact_bps: float = 0.0) -> DataFrame:
@@ -108,27 +131,45 @@ def layered_backtest_masked(factor: DataFrame, fwd1: DataFrame, masks: DataFrame
     A wanted name that can't be bought is left out; an unwanted one that can't be sold is held and sold on the first day it can
     be. Unknown is tradable; the last day has no execution day. A rebalance that would leave nothing is skipped. Cost is the rate per
     traded share of the held names. Only names that are ever in a leg's target are looked at.
+
+    Names depend on each other only through skipped rebalances. One can be skipped only if none of its names can be bought, so without such a rebalance
+    there is one pass; else passes go on until none empties a leg, the earliest being taken out each time.
     """
+    rate = (cost_bps + impact_bps) / 1e4
     days = _aligned(factor, fwd1)
-    target = _legs(factor, q).join(F.broadcast(days.where(F.col("i") % rebal_days == 0)), "di").select("leg", "i", "code", F.lit(True).alias("target"))
-    names = target.select("leg", "code").distinct()
+    n_days = days.count()
+    target = _legs(factor, days, q, rebal_days).select("leg", "i", "code")
     ahead = days.select((F.col("i") - 1).alias("i"), F.col("di").alias("exec_di"))
     days = days.join(ahead, "i", "left")
-    cells = names.join(fwd1.select("di", "code", F.col("value").alias("y")), "code").join(F.broadcast(days), "di")
-    side = masks.select(F.col("di").alias("exec_di"), "code", "can_buy", "can_sell")
-    cells = cells.join(side, ["exec_di", "code"], "left").join(target, ["leg", "i", "code"], "left")
-    cells = cells.select("leg", "i", "di", "code", "y", F.coalesce("target", F.lit(False)).alias("target"), "can_buy", "can_sell")
-    folded = cells.groupBy("leg").applyInPandas(_fold((cost_bps + impact_bps) / 1e4, rebal_days), "di int, leg string, ret double, turnover double")
-    return with_spread(folded.withColumn("turnover", F.when(~F.isnan("turnover"), F.col("turnover"))))
-
-
-def metrics(series: DataFrame, column: str = "ret", *keys: str) -> DataFrame:
-    """``ann_ret, sharpe, max_dd, n`` per key: 252 days a year; the drawdown is of the summed returns from their running peak."""
+    side = masks.select(F.col("di").alias("exec_di"), "code", F.coalesce("can_buy", F.lit(True)).alias("can_buy"), F.coalesce("can_sell", F.lit(True)).alias("can_sell"))
+    names = target.select("leg", "code").distinct().select("leg", "code", F.pmod(F.xxhash64("code"), F.lit(SLICES)).alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n_days - 1)))).alias("i"))
+    cells = names.join(F.broadcast(days), "i").join(side, ["exec_di", "code"], "left").join(target.withColumn("wanted", F.lit(True)), ["leg", "i", "code"], "left")
+    cells = cells.select("leg", "slice", "i", "code", *[F.coalesce(c, F.lit(c != "wanted")).alias(c) for c in ("wanted", "can_buy", "can_sell")])
+    active = cells.where("wanted").groupBy("leg", "i").agg(F.max("can_buy").alias("open"))
+    doubtful = active.where("NOT open").select("leg", "i").collect()  # rebalances of which no name can be bought
+    skipped: list[tuple[str, int]] = []
+    while True:
+        taken = active.select("leg", "i")
+        if skipped:
+            taken = taken.join(F.broadcast(taken.sparkSession.createDataFrame(skipped, "leg string, i int")), ["leg", "i"], "left_anti")
+        spans = _intervals(cells.join(F.broadcast(taken.withColumn("active", F.lit(True))), ["leg", "i"], "left").fillna(False, ["active"]), n_days)  # a row per rebalance
+        daily = _accounted(spans, days, taken, fwd1, n_days, rate)
+        emptied = daily.where("emptied").groupBy("leg").agg(F.min("i").alias("i")).collect() if doubtful else []
+        if not emptied:
+            break
+        skipped += [(r["leg"], r["i"]) for r in emptied]
+    legs = daily.where("gross IS NOT NULL OR cost IS NOT NULL")
+    zero = F.lit(0.0)
+    return _with_spread(legs.select("di", "leg", (F.coalesce("gross", zero) - F.coalesce("cost", zero)).alias("ret"), "turnover"))
+
+
+def metrics(series: DataFrame, column: str = "ret", *keys: str, periods: int = YEAR_DAYS) -> DataFrame:
+    """``ann_ret, sharpe, max_dd, n`` per key, with ``periods`` rows a year; the drawdown is of the summed returns from their running peak."""
     order = Window.partitionBy(*keys).orderBy("di") if keys else Window.orderBy("di")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = series.where(F.col(column).isNotNull()).select(*keys, "di", F.col(column).alias("r"), F.sum(column).over(run).alias("cum"))
     rows = rows.withColumn("dd", F.col("cum") - F.max("cum").over(run))
-    mean, sd = F.avg("r") * YEAR_DAYS, F.stddev_samp("r") * F.sqrt(F.lit(float(YEAR_DAYS)))
+    mean, sd = F.avg("r") * periods, F.stddev_samp("r") * F.sqrt(F.lit(float(periods)))
     return rows.groupBy(*keys).agg(F.bround(mean, 4).alias("ann_ret"), F.bround(F.try_divide(mean, sd), 2).alias("sharpe"), F.bround(F.min("dd"), 3).alias("max_dd"), F.count("r").alias("n"))
 
 
@@ -138,5 +179,12 @@ def average_turnover(legs: DataFrame, leg: str = "top") -> DataFrame:
     return turns.agg(F.bround(F.avg(F.when(F.col("k") > 1, F.col("turnover"))), 3).alias("avg_turnover"), F.count(F.lit(1)).alias("n_rebalances"))
 
 
+def overlay(net: DataFrame, benchmark: DataFrame, periods: int = YEAR_DAYS) -> DataFrame:
+    """One row: ``excess`` (per year), ``tracking_error`` (per year) and ``information_ratio`` of a series (``di, ret``) over a benchmark, on days that have both, and their number ``n``."""
+    both = net.select("di", F.col("ret").alias("a")).join(benchmark.select("di", F.col("ret").alias("b")), "di").select((F.col("a") - F.col("b")).alias("x")).where("x IS NOT NULL")
+    mean, sd = F.avg("x") * periods, F.stddev_samp("x") * F.sqrt(F.lit(float(periods)))
+    return both.agg(mean.alias("excess"), sd.alias("tracking_error"), F.try_divide(mean, sd).alias("information_ratio"), F.count("x").alias("n"))
+
+
 def excess(net: Column, benchmark: Column) -> Column:
     return net - benchmark

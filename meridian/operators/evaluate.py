@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.functions.ts import shift
+from meridian.functions.ts import by_code, shift
 from meridian.functions.xs import bucket, correlation, rank_average, rank_pct
 
 YEAR_DAYS = 252
@@ -35,33 +35,42 @@ def ic_series(factor: DataFrame, label: DataFrame, min_names: int = 30) -> DataF
     return ic_of(paired(factor, label), min_names=min_names)
 
 
+def _moments(ic: DataFrame, lag: int | str, column: str, keys: tuple[str, ...], most: int) -> DataFrame:
+    """By ``keys``, in one aggregate: mean ``m``, deviation ``sd``, rows ``n`` and long-run variance ``s`` over ``lag`` rows (a number, or a key that holds it, of at most ``most``)."""
+    order = Window.partitionBy(*keys).orderBy("di") if keys else Window.orderBy("di")
+    whole = Window.partitionBy(*keys)
+    n = F.count(F.lit(1)).over(whole)
+    rows = ic.select(*keys, "di", F.col(column).alias("x"), (F.col(column) - F.avg(column).over(whole)).alias("d"), F.avg(column).over(whole).alias("m"), n.alias("n"))
+    width = F.least(F.col(lag) if isinstance(lag, str) else F.lit(lag), F.col("n") - 1)
+    rows = rows.select("*", width.alias("width"), *[F.lag("d", k).over(order).alias(f"d{k}") for k in range(1, most + 1)])
+    weight = lambda k: F.when(F.col("width") >= k, 2 * (1 - F.lit(float(k)) / (F.col("width") + 1))).otherwise(0.0)
+    each = F.col("d") * F.col("d")
+    for k in range(1, most + 1):
+        each = each + F.coalesce(weight(k) * F.col("d") * F.col(f"d{k}"), F.lit(0.0))
+    return rows.groupBy(*keys).agg(F.first("m").alias("m"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n"), (F.sum(each) / F.first("n")).alias("s"))
+
+
+def _nw_t() -> Column:
+    return F.when((F.col("n") >= 2) & (F.col("s") > 0), F.col("m") / F.sqrt(F.col("s") / F.col("n")))
+
+
 def newey_west(ic: DataFrame, lag: int, column: str = "ic", *keys: str) -> DataFrame:
     """``nw_t`` of a mean with Bartlett weights over ``lag`` autocovariances (at most n - 1), each divided by n.
 
     Lags count rows of the series, not calendar days. Null with under two rows or without variance.
     """
-    order = Window.partitionBy(*keys).orderBy("di") if keys else Window.orderBy("di")
-    whole = Window.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(whole)
-    rows = ic.select(*keys, "di", (F.col(column) - F.avg(column).over(whole)).alias("d"), F.avg(column).over(whole).alias("m"), n.alias("n"))
-    width = F.least(F.lit(lag), F.col("n") - 1)
-    products = [F.sum(F.col("d") * F.col(f"d{k}")) / F.first("n") * F.when(F.lit(k) <= F.first(width), 2 * (1 - F.lit(float(k)) / (F.first(width) + 1))).otherwise(0.0) for k in range(1, lag + 1)]
-    rows = rows.select("*", *[F.coalesce(F.lag("d", k).over(order), F.lit(0.0)).alias(f"d{k}") for k in range(1, lag + 1)])
-    total = F.sum(F.col("d") * F.col("d")) / F.first("n")
-    for p in products:
-        total = total + p
-    out = rows.groupBy(*keys).agg(F.first("m").alias("m"), F.first("n").alias("n"), total.alias("s"))
-    return out.select(*keys, "n", F.when((F.col("n") >= 2) & (F.col("s") > 0), F.col("m") / F.sqrt(F.col("s") / F.col("n"))).alias("nw_t"))
-
-
-def ic_summary(ic: DataFrame, horizon: int, *keys: str) -> DataFrame:
-    """``ic_mean, icir, t_cons, nw_t, n``: the conservative t counts one independent reading per horizon."""
-    base = ic.groupBy(*keys).agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.count("ic").alias("n"))
-    ratio = F.try_divide(F.col("m"), F.col("s"))
-    nw = newey_west(ic, horizon, "ic", *keys).drop("n")
-    base = base.join(nw, list(keys)) if keys else base.withColumn("k", F.lit(1)).join(nw.withColumn("k", F.lit(1)), "k").drop("k")
-    t = ratio * F.sqrt(F.greatest(F.col("n") / F.lit(float(horizon)), F.lit(1.0)))
-    return base.select(*keys, F.bround("m", 4).alias("ic_mean"), F.bround(ratio, 3).alias("icir"), F.bround(t, 2).alias("t_cons"), F.bround("nw_t", 2).alias("nw_t"), "n")
+    return _moments(ic, lag, column, keys, lag).select(*keys, "n", _nw_t().alias("nw_t"))
+
+
+def ic_summary(ic: DataFrame, horizon: int | str, *keys: str, most: int | None = None) -> DataFrame:
+    """``ic_mean, icir, t_cons, nw_t, n``: the conservative t counts one independent reading per horizon.
+
+    The horizon is a number, or the key that holds it (then ``most`` is the largest).
+    """
+    base = _moments(ic, horizon, "ic", keys, horizon if most is None else most)
+    ratio = F.try_divide(F.col("m"), F.col("sd"))
+    t = ratio * F.sqrt(F.greatest(F.col("n") / (F.col(horizon) if isinstance(horizon, str) else F.lit(float(horizon))), F.lit(1.0)))
+    return base.select(*keys, F.bround("m", 4).alias("ic_mean"), F.bround(ratio, 3).alias("icir"), F.bround(t, 2).alias("t_cons"), F.bround(_nw_t(), 2).alias("nw_t"), "n")
 
 
 def yearly_table(ic: DataFrame) -> DataFrame:
@@ -76,9 +85,10 @@ def monthly_matrix(ic: DataFrame) -> DataFrame:
 
 
 def rank_autocorr(factor: DataFrame, lag: int = 5) -> DataFrame:
-    """Mean over days of the correlation of percentile ranks with those ``lag`` days earlier."""
+    """Mean over days of the correlation of percentile ranks with those ``lag`` days earlier; the factor need not have a row for every day."""
     ranks = factor.select("di", "code", rank_pct(F.col("value")).alias("r"))
-    ranks = ranks.select("di", "r", shift("r", lag).alias("before")).where("r IS NOT NULL AND before IS NOT NULL")
+    before = F.first("r").over(by_code().rangeBetween(-lag, -lag))
+    ranks = ranks.select("di", "r", before.alias("before")).where("r IS NOT NULL AND before IS NOT NULL")
     daily = ranks.groupBy("di").agg(correlation(F.col("r"), F.col("before")).alias("c"))
     return daily.agg(F.bround(F.avg("c"), 4).alias("rank_autocorr"))
 
@@ -110,22 +120,17 @@ def horizon_profile(factor: DataFrame, panel: DataFrame, horizons: tuple[int, ..
     ahead = [F.struct(F.lit(h).alias("h"), (F.try_divide(shift("adj_close", -(1 + h)), shift("adj_close", -1)) - 1).alias("y")) for h in horizons]
     labels = panel.select("di", "code", F.array(*ahead).alias("a")).select("di", "code", F.inline("a")).where("y IS NOT NULL")
     pairs = factor.select("di", "date", "code", F.col("value").alias("f")).where("f IS NOT NULL").join(labels, ["di", "code"])
-    ic = ic_of(pairs, "h", min_names=min_names)
-    parts = [ic_summary(ic.where(F.col("h") == h), h, "h") for h in horizons]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return ic_summary(ic_of(pairs, "h", min_names=min_names), "h", "h", most=max(horizons))
 
 
-def run_panel(name: str, factor: DataFrame, panel: DataFrame, horizon: int = 5, q: int = 5, min_names: int = 30, label: DataFrame | None = None, fwd1: DataFrame | None = None) -> dict:
-    """The tear sheet: summary scalars and the tables as DataFrames."""
+def run_panel(name: str, factor: DataFrame, panel: DataFrame, horizon: int = 5, q: int = 5, min_names: int = 30, label: DataFrame | None = None, fwd1: DataFrame | None = None, periods: int = YEAR_DAYS) -> dict:
+    """The tear sheet: summary scalars and the tables as DataFrames; ``periods`` is the number of rows of the calendar in a year."""
     label = forward_returns(panel, horizon) if label is None else label
     fwd1 = forward_returns(panel, 1) if fwd1 is None else fwd1
     ic = ic_series(factor, label, min_names).persist()
     buckets = quantile_returns(factor, fwd1, q).persist()
     top = ic_summary(ic, horizon).first()
-    summary = {"factor": name, **top.asDict(), "rank_autocorr": rank_autocorr(factor).first()[0], "ls_annual": (buckets.agg(F.avg("ls")).first()[0] or 0.0) * YEAR_DAYS}
+    summary = {"factor": name, **top.asDict(), "rank_autocorr": rank_autocorr(factor).first()[0], "ls_annual": (buckets.agg(F.avg("ls")).first()[0] or 0.0) * periods}
     return {"summary": summary, "ic": ic, "yearly": yearly_table(ic), "monthly": monthly_matrix(ic), "quantiles": buckets}
 
 

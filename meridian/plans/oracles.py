@@ -127,7 +127,7 @@ lastly AS (SELECT di, code, last(value ORDER BY pub_date, report_date) AS event
 known AS (SELECT g.di, g.date, g.code, g.close, last_value(event IGNORE NULLS) OVER (PARTITION BY g.code ORDER BY g.di) AS value FROM grid g LEFT JOIN lastly l ON l.di = g.di AND l.code = g.code)
 """
 MEMBERS = """
-snap AS (SELECT DISTINCT m.snap_date, b.code FROM bars b JOIN (SELECT date_trunc('month', date) AS month, min(date) AS snap_date FROM bars GROUP BY 1) m ON date_trunc('month', b.date) = m.month),
+snap AS (SELECT DISTINCT m.snap_date, b.code FROM bars b JOIN (SELECT date_trunc('month', date) AS month, max(date) AS snap_date FROM bars GROUP BY 1) m ON date_trunc('month', b.date) = m.month),
 member AS (SELECT cal.di, cal.date, snap.code FROM cal JOIN snap ON snap.snap_date = (SELECT max(snap_date) FROM snap s WHERE s.snap_date <= cal.date))
 """
 FACTOR_PARTS = f"""{RET}, imp AS (SELECT *, CASE WHEN amount > 0 THEN abs(ret) / amount * 1e9 END AS impact FROM ret),
@@ -135,6 +135,49 @@ fs AS (SELECT di, date, code, {REV} AS rev_5, {VOL} AS vol_20, {rolling("avg", "
 long_f AS (SELECT 'rev_5' AS factor, di, date, code, rev_5 AS v, y FROM fs UNION ALL SELECT 'vol_20', di, date, code, vol_20, y FROM fs UNION ALL SELECT 'amihud_20', di, date, code, amihud_20, y FROM fs),
 r AS (SELECT factor, di, date, code, {rank_pct("v", "factor, di")} AS r FROM long_f WHERE v IS NOT NULL)"""
 
+NW = """z AS (SELECT di, row_number() OVER (ORDER BY di) AS k, ic - avg(ic) OVER () AS d, avg(ic) OVER () AS m, count(*) OVER () AS n FROM ic),
+s AS (SELECT any_value(a.n) AS n, any_value(a.m) AS m, sum(CASE WHEN b.k = a.k THEN 1 ELSE 2 * (1 - (a.k - b.k) / 6e0) END * a.d * b.d) / any_value(a.n) AS s FROM z a JOIN z b ON a.k - b.k BETWEEN 0 AND 5)"""
+#: The buffered book: the names of each rebalance in order, and what is held after it, one rebalance after the other.
+BOOK = f"""
+size AS (SELECT greatest(2, count(DISTINCT code) // 10) AS top, greatest(3, count(DISTINCT code) // 6) AS buffer FROM bars),
+picks AS (SELECT di, list(code ORDER BY v DESC, code) AS names FROM (SELECT di, code, {REV} AS v FROM grid) WHERE v IS NOT NULL AND di % 5 = 0 GROUP BY di),
+steps AS (SELECT row_number() OVER (ORDER BY di) AS k, di, names[:buffer] AS near, names[:greatest(top, buffer)] AS names, top FROM picks, size WHERE len(names) >= buffer),
+book AS (
+  SELECT k, di, names[:top] AS held FROM steps WHERE k = 1
+  UNION ALL SELECT k, di, list_concat(kept, list_filter(names, lambda x: NOT list_contains(kept, x))[:greatest(0, top - len(kept))])
+  FROM (SELECT s.k, s.di, s.names, s.top, list_filter(b.held, lambda x: list_contains(s.near, x)) AS kept FROM book b JOIN steps s ON s.k = b.k + 1)),
+spans AS (SELECT di AS since, lead(di) OVER (ORDER BY di) AS until, held FROM book),
+weights AS (SELECT cal.di, cal.date, unnest(held) AS code, 1e0 / len(held) AS weight FROM cal JOIN spans ON cal.di >= since AND (until IS NULL OR cal.di < until))"""
+TRADABLE = f"""limits AS (SELECT *, open / nullif({lag('close', 1)}, 0) - 1 AS move, open = high AND open = low AS one, CASE WHEN code[1:6] IN ('sz.300', 'sh.688') AND date >= DATE '1998-08-24' THEN 0.198 WHEN coalesce(is_st, 0) = 1 THEN 0.048 ELSE 0.098 END::DOUBLE AS lim FROM grid),
+masks AS (SELECT di, code, NOT coalesce(one AND move >= lim, false) AS can_buy, NOT coalesce(one AND move <= -lim, false) AS can_sell FROM limits)"""
+#: Holdings under masks, name by name and day by day: since when a name is held, and whether it waits to be sold.
+MASKED = f"""{TRADABLE},
+lives AS (SELECT n.leg, n.code, cal.di AS i, m.code IS NOT NULL AS wanted, a.di IS NOT NULL AS active, coalesce(k.can_buy, true) AS buy, coalesce(k.can_sell, true) AS sell
+  FROM (SELECT DISTINCT leg, code FROM members) n CROSS JOIN cal LEFT JOIN members m ON m.leg = n.leg AND m.code = n.code AND m.di = cal.di
+  LEFT JOIN (SELECT DISTINCT leg, di FROM members) a ON a.leg = n.leg AND a.di = cal.di LEFT JOIN masks k ON k.code = n.code AND k.di = cal.di + 1),
+state AS (
+  SELECT -1 AS i, leg, code, false AS held, false AS waits, 0 AS late, 0 AS sold, 0 AS bought FROM lives WHERE i = 0
+  UNION ALL SELECT i, leg, code, (stays AND NOT (active AND NOT wanted AND sell)) OR (active AND wanted AND NOT stays AND buy), CASE WHEN active THEN stays AND NOT wanted AND NOT sell ELSE waits AND stays END,
+    (held AND NOT stays)::INT, (stays AND active AND NOT wanted AND sell)::INT, (active AND wanted AND NOT stays AND buy)::INT
+  FROM (SELECT l.*, s.held, s.waits, s.held AND NOT (s.waits AND l.sell) AS stays FROM state s JOIN lives l ON l.leg = s.leg AND l.code = s.code AND l.i = s.i + 1)),
+moves AS (SELECT leg, i, sum(held::INT) AS n, sum(late) AS late, sum(sold) AS sold, sum(bought) AS bought FROM state GROUP BY leg, i),
+costs AS (SELECT m.leg, m.i, m.late, m.sold + m.bought AS traded, m.n, lag(m.n) OVER (PARTITION BY m.leg ORDER BY m.i) AS before, a.di IS NOT NULL AND m.n > 0 AS turned FROM moves m LEFT JOIN (SELECT DISTINCT leg, di FROM members) a ON a.leg = m.leg AND a.di = m.i),
+earned AS (SELECT s.leg, s.i, avg(f.y) AS gross FROM state s JOIN f ON f.di = s.i AND f.code = s.code WHERE held GROUP BY s.leg, s.i),
+booked AS (SELECT c.leg, c.i AS di, gross, CASE WHEN turned THEN traded / (2e0 * n) END AS turnover, CASE WHEN c.late > 0 THEN 0.0015::DOUBLE * c.late / before END AS retry, CASE WHEN turned THEN 0.0015::DOUBLE * traded / n END AS now
+  FROM costs c LEFT JOIN earned e ON e.leg = c.leg AND e.i = c.i WHERE c.i >= 0),
+masked_legs AS (SELECT di, leg, coalesce(gross, 0) - coalesce(retry, 0) - coalesce(now, 0) AS ret, turnover FROM booked WHERE gross IS NOT NULL OR retry IS NOT NULL OR now IS NOT NULL),
+masked_spread AS (SELECT di, max(ret) FILTER (leg = 'top') AS top, max(ret) FILTER (leg = 'bottom') AS bottom FROM masked_legs GROUP BY di),
+masked AS (SELECT * FROM masked_legs UNION ALL SELECT di, 'ls', top - bottom, NULL FROM masked_spread WHERE top IS NOT NULL AND bottom IS NOT NULL)"""
+POLLUTED = f"""still AS (SELECT di, date, code, (CASE WHEN is_trading = 1 THEN turn ELSE 0 END = 0)::INT AS z FROM grid),
+bad AS (SELECT di, code, coalesce(max(z) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 0) = 1 AS polluted FROM still)"""
+AUTOCORR = f"""ra AS (SELECT di, code, {rank_pct('v')} AS r FROM (SELECT di, code, {REV} AS v FROM grid)), rb AS (SELECT di, r, {lag('r', 5)} AS before FROM ra),
+rc AS (SELECT di, {corr('r', 'before')} AS c FROM rb WHERE r IS NOT NULL AND before IS NOT NULL GROUP BY di)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLES: dict[str, str] = {
     "panel_weekly": query(select="SELECT date, code, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(adj_close, 8) AS adj_close, round(volume, 8) AS volume, round(amount, 8) AS amount, round(turn, 8) AS turn, is_st, is_trading FROM long"),
     "panel_dense_grid": query(select="SELECT di, date, code, round(close, 8) AS close, round(turn, 8) AS turn, is_trading FROM grid"),
@@ -210,6 +253,12 @@ ORACLES: dict[str, str] = {
         "g AS (SELECT di, count(*) AS n, covar_pop(f, x) AS fx, covar_pop(f, z) AS fz, covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz FROM c GROUP BY di)",
         select="SELECT di, round((fx * zz - fz * xz) / (xx * zz - xz * xz), 8) AS size, round((fz * xx - fx * xz) / (xx * zz - xz * xz), 8) AS volatility FROM g WHERE n >= 30",
     ),
+    "style_totals": query(
+        STYLES, prepared("size"), prepared("volatility"), f"fy AS (SELECT di, code, {ahead(1)} AS f FROM grid)",
+        "c AS (SELECT fy.*, size AS x, volatility AS z FROM fy JOIN p_size USING (di, code) JOIN p_volatility USING (di, code) WHERE f IS NOT NULL AND size IS NOT NULL AND volatility IS NOT NULL)",
+        "g AS (SELECT di, count(*) AS n, covar_pop(f, x) AS fx, covar_pop(f, z) AS fz, covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz FROM c GROUP BY di)",
+        select="SELECT 'size' AS style, round(sum((fx * zz - fz * xz) / (xx * zz - xz * xz)), 6) AS total FROM g WHERE n >= 30 UNION ALL SELECT 'volatility', round(sum((fz * xx - fx * xz) / (xx * zz - xz * xz)), 6) FROM g WHERE n >= 30",
+    ),
     "factor_returns": query(
         SIZE, "styles AS (SELECT di, code, value AS size FROM size)", prepared("size"), f"fy AS (SELECT di, date, code, {ahead(1)} AS f FROM grid)",
         select="SELECT date, round(regr_slope(f, size), 8) AS size FROM fy JOIN p_size USING (di, code) WHERE f IS NOT NULL AND size IS NOT NULL GROUP BY di, date HAVING count(*) >= 30",
@@ -252,8 +301,86 @@ ORACLES: dict[str, str] = {
     "layered_backtest_daily": query(LEGS, select="SELECT di, leg, round(ret, 8) AS ret, round(turnover, 8) AS turnover FROM layered"),
     "layered_metrics": query(
         LEGS, "c AS (SELECT leg, di, ret, sum(ret) OVER (PARTITION BY leg ORDER BY di) AS cum FROM layered WHERE ret IS NOT NULL)", "dd AS (SELECT *, cum - max(cum) OVER (PARTITION BY leg ORDER BY di) AS dd FROM c)",
-        select=f"SELECT leg, {bround('avg(ret) * 252', 4)} AS ann_ret, {bround('avg(ret) * 252 / (stddev_samp(ret) * sqrt(252e0))', 2)} AS sharpe, {bround('min(dd)', 3)} AS max_dd, count(*) AS n FROM dd GROUP BY leg",
+        select=f"SELECT leg, {bround('avg(ret) * 52', 4)} AS ann_ret, {bround('avg(ret) * 52 / (stddev_samp(ret) * sqrt(52e0))', 2)} AS sharpe, {bround('min(dd)', 3)} AS max_dd, count(*) AS n FROM dd GROUP BY leg",
+    ),
+    "tear_sheet": query(
+        IC, QUANTILES, NW, AUTOCORR,
+        select=f"SELECT 'rev_5' AS factor, {bround('avg(ic)', 4)} AS ic_mean, {bround('avg(ic) / stddev_samp(ic)', 3)} AS icir, {bround('avg(ic) / stddev_samp(ic) * sqrt(greatest(count(*) / 5e0, 1))', 2)} AS t_cons, "
+        f"(SELECT {bround('m / sqrt(s / n)', 2)} FROM s) AS nw_t, count(*) AS n, (SELECT {bround('avg(c)', 4)} FROM rc) AS rank_autocorr, (SELECT avg(q5 - q1) * 52 FROM q) AS ls_annual FROM ic",
+    ),
+    "topn_buffer_weights": recursive(query(BOOK, select="SELECT date, code, round(weight, 8) AS weight FROM weights")),
+    "turnover": recursive(query(
+        BOOK, f"held AS (SELECT g.di, g.code, coalesce(weight, 0) AS w FROM grid g LEFT JOIN weights USING (di, code))", f"c AS (SELECT di, abs(w - {lag('w', 1)}) AS c FROM held)",
+        select="SELECT di, round(coalesce(sum(c), 0) / 2, 8) AS turnover FROM c GROUP BY di",
+    )),
+    "portfolio_returns": recursive(query(BOOK, f"y AS (SELECT di, code, {ahead(1)} AS y FROM grid)", select="SELECT di, round(sum(weight * coalesce(y, 0)), 8) AS ret FROM weights LEFT JOIN y USING (di, code) GROUP BY di")),
+    "target_holdings": recursive(query(BOOK, select="SELECT code, round(weight, 8) AS weight FROM weights WHERE di = (SELECT max(di) FROM cal)")),
+    "layered_backtest_masked": recursive(query(LEGS, MASKED, select="SELECT di, leg, round(ret, 8) AS ret, round(turnover, 8) AS turnover FROM masked")),
+    "series_moments": query(
+        LEGS, "x AS (SELECT ret AS r, avg(ret) OVER () AS m FROM layered WHERE leg = 'ls' AND ret IS NOT NULL)", "mo AS (SELECT avg(r) AS m, stddev_samp(r) AS sd, avg(pow(r - m, 2)) AS m2, avg(pow(r - m, 3)) AS m3, avg(pow(r - m, 4)) AS m4, count(*) AS n FROM x)",
+        select="SELECT round(m / sd, 6) AS sharpe, round(m3 / pow(m2, 1.5), 6) AS skew, round(m4 / (m2 * m2), 6) AS kurt, n FROM mo",
+    ),
+    "admission_check": query(
+        IC, NW, AUTOCORR, RET, f"fv AS (SELECT di, code, close, {VOL} AS vol, adj_close / nullif({lag('adj_close', 5)}, 0) - 1 AS rev FROM ret)",
+        "cov AS (SELECT avg(c) AS v FROM (SELECT di, count(rev) / nullif(count(close), 0)::DOUBLE AS c FROM fv WHERE di > (SELECT max(di) FROM cal) - 252 GROUP BY di))",
+        "yr AS (SELECT avg((m > 0)::INT) AS v FROM (SELECT avg(ic) AS m FROM ic GROUP BY year(date)))",
+        f"pr AS (SELECT di, {rank_average('rev')} AS a, {rank_average('vol')} AS b FROM fv WHERE di % 5 = 0)",
+        f"pool AS (SELECT avg(c) AS v FROM (SELECT di, {corr('a', 'b')} AS c FROM pr WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY di))",
+        """g AS (SELECT 'end_aligned' AS gate, (SELECT max(date) FROM bars WHERE close IS NOT NULL) - (SELECT max(date) FROM cal) + 0e0 AS value, true AS hard UNION ALL SELECT 'coverage_1y', (SELECT v FROM cov), true
+  UNION ALL SELECT 'direction', (SELECT avg(ic) FROM ic), true UNION ALL SELECT 'yearly_consistency', (SELECT v FROM yr), true UNION ALL SELECT 'significance_nw', (SELECT m / sqrt(s / n) FROM s), true
+  UNION ALL SELECT 'turnover_flag', (SELECT round_even(avg(c), 4) FROM rc), false UNION ALL SELECT 'pool_redundancy', (SELECT v FROM pool), false)""",
+        "t AS (SELECT *, coalesce(CASE gate WHEN 'end_aligned' THEN value = 0 WHEN 'coverage_1y' THEN value >= 0.4 WHEN 'direction' THEN value > 0 WHEN 'yearly_consistency' THEN value >= 0.6 WHEN 'significance_nw' THEN value >= 3 WHEN 'turnover_flag' THEN value >= 0.5 ELSE abs(value) <= 0.7 END, gate = 'pool_redundancy') AS ok FROM g)",
+        select="SELECT gate, round(value, 6) AS value, ok, hard, (SELECT CASE WHEN bool_or(hard AND NOT ok) THEN 'fail' WHEN bool_or(NOT ok) THEN 'warn' ELSE 'pass' END FROM t) AS verdict FROM t",
     ),
+    "neutralize_two_styles": query(
+        STYLES, f"fy AS (SELECT di, date, code, {REV} AS f FROM grid)",
+        "c AS (SELECT fy.*, size AS x, volatility AS z, count(*) OVER (PARTITION BY di) AS n FROM fy JOIN (SELECT di, code, size, volatility FROM styles) USING (di, code) WHERE f IS NOT NULL AND size IS NOT NULL AND volatility IS NOT NULL)",
+        "g AS (SELECT di, avg(f) AS mf, avg(x) AS mx, avg(z) AS mz, covar_pop(f, x) AS fx, covar_pop(f, z) AS fz, covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz FROM c WHERE n >= 12 GROUP BY di)",
+        select="SELECT date, code, round(f - mf - (fx * zz - fz * xz) / (xx * zz - xz * xz) * (x - mx) - (fz * xx - fx * xz) / (xx * zz - xz * xz) * (z - mz), 8) AS value FROM c JOIN g USING (di)",
+    ),
+    "overlay_metrics": query(
+        LEGS, "market AS (SELECT di, avg(y) AS b FROM f GROUP BY di)", "x AS (SELECT ret - b AS x FROM legs JOIN market USING (di) WHERE leg = 'top')",
+        select="SELECT round(avg(x) * 52, 8) AS excess, round(stddev_samp(x) * sqrt(52e0), 8) AS tracking_error, round(avg(x) * 52 / (stddev_samp(x) * sqrt(52e0)), 8) AS information_ratio, count(x) AS n FROM x",
+    ),
+    "rolling_prior": query(
+        IC, "k AS (SELECT cal.di, lag(ic, 7) OVER (ORDER BY cal.di) AS ic FROM cal LEFT JOIN ic USING (di))",
+        select="SELECT di, round(CASE WHEN count(ic) OVER w >= 26 THEN greatest(avg(ic) OVER w, 0) END, 8) AS ic FROM k WINDOW w AS (ORDER BY di ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)",
+    ),
+    "prior_asof": query(IC, select="SELECT di, round(greatest(coalesce((SELECT arg_max(ic.ic, ic.di) FROM ic WHERE ic.di <= cal.di), 0), 0), 8) AS ic FROM cal WHERE di % 20 = 0"),
+    "execution_days": query(select="SELECT di, CASE WHEN di < (SELECT max(di) FROM cal) THEN di + 1 END AS next_di FROM cal"),
+    "upsert_periods": query(FUNDAMENTALS, select="SELECT code, report_date, pub_date, round(CASE WHEN year(report_date) = 1998 THEN value * 2 ELSE value END, 8) AS value FROM events"),
+    "pollution_by_year": query(
+        POLLUTED, f"fy AS (SELECT di, date, code, {REV} AS f, {ahead(5)} AS y FROM grid)", "c AS (SELECT date, y, polluted FROM fy JOIN bad USING (di, code) WHERE f IS NOT NULL AND y IS NOT NULL)",
+        select="SELECT year(date)::INT AS year, count(*) AS scored, count(*) FILTER (polluted) AS polluted, round(count(*) FILTER (polluted) / count(*)::DOUBLE, 8) AS share, round(median(abs(y)) FILTER (polluted), 8) AS median_polluted, "
+        "round(median(abs(y)) FILTER (NOT polluted), 8) AS median_clean, round(count(*) FILTER (polluted AND y = 0) / nullif(count(*) FILTER (polluted), 0)::DOUBLE, 8) AS zero_share FROM c GROUP BY 1",
+    ),
+    "ic_without_polluted": query(
+        POLLUTED, f"fy AS (SELECT di, date, code, {REV} AS f, {ahead(5)} AS y FROM grid)", "pairs AS (SELECT fy.*, count(*) OVER (PARTITION BY di) AS n FROM fy JOIN bad USING (di, code) WHERE f IS NOT NULL AND y IS NOT NULL AND NOT polluted)",
+        f"ranked AS (SELECT di, date, {rank_average('f')} AS a, {rank_average('y')} AS b FROM pairs WHERE n >= 10)", f"ic AS (SELECT date, {corr('a', 'b')} AS ic FROM ranked GROUP BY date)",
+        select="SELECT date, round(ic, 8) AS ic FROM ic WHERE ic IS NOT NULL",
+    ),
+    "realisation_rate": query(
+        SIZE, f"fy AS (SELECT g.di, g.date, g.code, f, y, x FROM (SELECT di, date, code, {REV} AS f, {ahead(5)} AS y FROM grid) g LEFT JOIN (SELECT di, code, value AS x FROM size) USING (di, code))",
+        "fit AS (SELECT di, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, count(*) AS k FROM fy WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY di)",
+        "two AS (SELECT 'raw' AS w, di, date, f, y FROM fy UNION ALL SELECT 'residual', di, date, f, y - i - s * x FROM fy JOIN fit USING (di) WHERE k >= 11)",
+        "pairs AS (SELECT *, count(*) OVER (PARTITION BY w, di) AS n FROM two WHERE f IS NOT NULL AND y IS NOT NULL)", f"ranked AS (SELECT w, di, date, {rank_average('f', 'w, di')} AS a, {rank_average('y', 'w, di')} AS b FROM pairs WHERE n >= 30)",
+        f"ic AS (SELECT * FROM (SELECT w, date, {corr('a', 'b')} AS ic FROM ranked GROUP BY w, date) WHERE ic IS NOT NULL)",
+        "yr AS (SELECT year(date) AS yr, avg(ic) FILTER (w = 'residual') AS a, avg(ic) FILTER (w = 'raw') AS b FROM ic GROUP BY 1)", "t AS (SELECT avg(ic) FILTER (w = 'residual') AS a, avg(ic) FILTER (w = 'raw') AS b FROM ic)",
+        select="SELECT round(a, 6) AS ic_residual, round(b, 6) AS ic_raw, round(b / a, 6) AS rate, (SELECT count(*) FILTER (sign(a) <> sign(b)) FROM yr WHERE a IS NOT NULL AND b IS NOT NULL) AS flips, (SELECT count(*) FROM yr WHERE a IS NOT NULL AND b IS NOT NULL) AS years FROM t",
+    ),
+    "attribution_windows": query(
+        IC, "w AS (SELECT * FROM (VALUES ('first half of 1998', DATE '1998-01-01', DATE '1998-06-30'), ('1998', DATE '1998-01-01', DATE '1998-12-31'), ('autumn 2000', DATE '2000-09-01', DATE '2000-11-30'), ('never', DATE '1980-01-01', DATE '1980-12-31')) v(w, a, b))",
+        select='SELECT w AS "window", round(avg(ic), 8) AS mean, round(sum(ic), 8) AS total, count(*) AS n FROM ic JOIN w ON date BETWEEN a AND b GROUP BY w',
+    ),
+    "universe_union": """
+SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'sh.600' WHEN 1 THEN 'sz.000' WHEN 2 THEN 'sz.300' ELSE 'sh.688' END || lpad(s_suppkey::VARCHAR, greatest(4, length(s_suppkey::VARCHAR))::INT, '0') AS code
+FROM supplier WHERE s_nationkey < 5 OR s_acctbal > 5000
+""",
+    "raw_with_adjusted": query(select="SELECT date, code, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume, round(amount, 8) AS amount, round(CASE WHEN is_trading = 1 AND is_st = 0 THEN turn ELSE 0 END, 8) AS turn, round(CASE WHEN is_trading = 1 THEN close END, 8) AS adj_close, is_st, is_trading FROM long"),
+    "normalised_fundamentals": """
+WITH c AS (SELECT translate(lpad(c_custkey::VARCHAR, 6, '0'), '12', '63') AS code, c_acctbal::DOUBLE AS value, (DATE '1998-04-01' + (c_custkey % 60)::INT)::DATE AS pub_date FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0)
+SELECT CASE WHEN code[1] = '6' THEN 'sh.' ELSE 'sz.' END || code AS code, DATE '1998-03-31' AS report_date, pub_date, round(value, 8) AS value FROM c WHERE code[1] IN ('6', '0', '3')
+""",
     "pbo_cscv": """
 WITH cells AS (SELECT date_trunc('month', l_shipdate)::DATE AS t, p_brand AS s, avg(l_extendedprice * (1 - l_discount) / l_quantity) AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 full_t AS (SELECT t, avg(p) AS m FROM cells GROUP BY t HAVING count(*) = (SELECT count(DISTINCT s) FROM cells)),

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions.xs import rank_pct, winsorize_mad, zscore
-from meridian.operators import asof, backtest, discipline, factors, model, optimizer, risk, strategy, universe
+from meridian.operators import asof, backtest, diagnose, discipline, factors, model, optimizer, risk, strategy, universe
 from meridian.operators import evaluate as ev
-from meridian.sources.panel import Panel, calendar_of, densify, fundamentals, industries, membership, weekly_bars
+from meridian.sources import normalise
+from meridian.sources.panel import Panel, calendar_of, code_of, densify, fundamentals, industries, membership, weekly_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
-HORIZON, MIN_NAMES = 5, 30
+HORIZON, MIN_NAMES, PERIODS = 5, 30, 52  # rows of the weekly calendar
 GROWTH_SINCE = "1998-08-24"
 STYLE_WINDOWS = {"beta_window": 52, "beta_least": 26, "long": 52, "short": 4, "vol": 26, "vol_least": 13, "liq": 8, "liq_least": 4}
 COMPOSITE = ("rev_5", "vol_20", "amihud_20")
@@ -109,7 +110,7 @@ def quantile_returns(spark: SparkSession, d: str) -> DataFrame:
 
 def tear_sheet(spark: SparkSession, d: str) -> DataFrame:
     grid = Panel.of(spark, d).grid
-    found = ev.run_panel("rev_5", factors.evaluate("rev_5", grid), grid, HORIZON, min_names=MIN_NAMES)["summary"]
+    found = ev.run_panel("rev_5", factors.evaluate("rev_5", grid), grid, HORIZON, min_names=MIN_NAMES, periods=PERIODS)["summary"]
     return spark.createDataFrame([found], "factor string, ic_mean double, icir double, t_cons double, nw_t double, n long, rank_autocorr double, ls_annual double")
 
 
@@ -131,6 +132,11 @@ def neutralize_size(spark: SparkSession, d: str) -> DataFrame:
     return present(risk.neutralize(factors.evaluate("rev_5", grid), risk.size_proxy(grid)))
 
 
+def neutralize_two_styles(spark: SparkSession, d: str) -> DataFrame:
+    grid, styles = Panel.of(spark, d).grid, _styles(spark, d)
+    return present(risk.neutralize(factors.evaluate("rev_5", grid), *[styles.select("di", "code", F.col(n).alias("value")) for n in ("size", "volatility")]))
+
+
 def residualize_industry_size(spark: SparkSession, d: str) -> DataFrame:
     grid = Panel.of(spark, d).grid
     size = risk.size_proxy(grid).withColumnRenamed("value", "size")
@@ -251,7 +257,98 @@ def layered_backtest_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layered_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.metrics(_layered(spark, d), "ret", "leg")
+    return backtest.metrics(_layered(spark, d), "ret", "leg", periods=PERIODS)
+
+
+def overlay_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The top leg over the equal-weight market."""
+    market = ev.forward_returns(Panel.of(spark, d).grid, 1).groupBy("di").agg(F.avg("value").alias("ret"))
+    return rounded(backtest.overlay(_layered(spark, d).where("leg = 'top'"), market, PERIODS))
+
+
+def rolling_prior(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(strategy.rolling_prior(_ic(spark, d), Panel.of(spark, d).calendar, HORIZON, 52, 26))
+
+
+def prior_asof(spark: SparkSession, d: str) -> DataFrame:
+    """The coefficient known on every 20th day, negative and missing ones as zero."""
+    return rounded(asof.latest_known(_ic(spark, d), Panel.of(spark, d).calendar.where("di % 20 = 0"), "ic", floor=0.0))
+
+
+def execution_days(spark: SparkSession, d: str) -> DataFrame:
+    return asof.next_day(Panel.of(spark, d).calendar)
+
+
+def upsert_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Fundamentals with the quarters of 1998 fetched again, doubled."""
+    events = fundamentals(spark, d)
+    return rounded(asof.upsert_periods(events, events.where("year(report_date) = 1998").withColumn("value", F.col("value") * 2)))
+
+
+def _polluted(spark: SparkSession, d: str) -> DataFrame:
+    grid = Panel.of(spark, d).grid
+    return factors.suspension_pollution(grid.withColumn("turn", F.when(F.col("is_trading") == 1, F.col("turn")).otherwise(0.0)), HORIZON)
+
+
+def pollution_by_year(spark: SparkSession, d: str) -> DataFrame:
+    grid = Panel.of(spark, d).grid
+    label = ev.forward_returns(grid, HORIZON)
+    return rounded(diagnose.pollution_by_year(factors.evaluate("rev_5", grid), label, _polluted(spark, d), label))
+
+
+def ic_without_polluted(spark: SparkSession, d: str) -> DataFrame:
+    grid = Panel.of(spark, d).grid
+    return rounded(ev.ic_series(diagnose.without_polluted(factors.evaluate("rev_5", grid), _polluted(spark, d)), ev.forward_returns(grid, HORIZON), 10).select("date", "ic"))
+
+
+def realisation_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients against the forward return less what size explains, and against the raw one."""
+    grid = Panel.of(spark, d).grid
+    label = ev.forward_returns(grid, HORIZON)
+    return rounded(diagnose.realisation(factors.evaluate("rev_5", grid), risk.neutralize(label, risk.size_proxy(grid)), label, MIN_NAMES), 6)
+
+
+def attribution_windows(spark: SparkSession, d: str) -> DataFrame:
+    windows = {"first half of 1998": ("1998-01-01", "1998-06-30"), "1998": ("1998-01-01", "1998-12-31"), "autumn 2000": ("2000-09-01", "2000-11-30"), "never": ("1980-01-01", "1980-12-31")}
+    return rounded(diagnose.by_window(_ic(spark, d), windows))
+
+
+def style_totals(spark: SparkSession, d: str) -> DataFrame:
+    coefficients, _ = _two_styles(spark, d)
+    return rounded(diagnose.style_totals(coefficients, ("size", "volatility")), 6)
+
+
+def universe_union(spark: SparkSession, d: str) -> DataFrame:
+    """The names of two lists: suppliers of nations 0 to 4, and those with over 5,000 in their account."""
+    lists = industries(spark, d).join(spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 5"), F.col("industry") == F.col("n_name"), "left_semi")
+    rich = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 5000").select(code_of("s_suppkey").alias("code"))
+    return normalise.union_of_lists(lists, rich)
+
+
+def raw_with_adjusted(spark: SparkSession, d: str) -> DataFrame:
+    """Bars as text, normalised, with the closes of trading weeks as adjusted ones."""
+    bars = weekly_bars(spark.read.parquet(f"{d}/lineitem.parquet"))
+    text = bars.select("date", "code", *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume", "amount")], F.when(F.col("is_st") == 1, "-").otherwise((F.col("turn") * 100).cast("string")).alias("turn"), F.col("is_trading").cast("string").alias("tradestatus"), F.col("is_st").cast("string").alias("isST"))
+    return rounded(normalise.normalised_bars(normalise.with_adjusted(text, bars.where("is_trading = 1"))))
+
+
+def normalised_fundamentals(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a raw page of one period: some balances are no numbers, some dates are missing."""
+    raw = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("amount"), F.when(F.col("c_custkey") % 5 != 0, F.date_add(F.lit("1998-04-01").cast("date"), (F.col("c_custkey") % 60).cast("int")).cast("string")).alias("told"), F.col("c_name").alias("name"))
+    found = normalise.normalised_fundamentals(raw, "1998-03-31", {"code": "id", "value": "amount", "pub_date": "told"})
+    return rounded(found.withColumn("code", normalise.exchange_code(F.translate("code", "12", "63"))).where("code IS NOT NULL"))
+
+
+def series_moments(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(discipline.series_moments(_layered(spark, d).where("leg = 'ls'")), 6)
+
+
+def portfolio_sweep(spark: SparkSession, d: str) -> DataFrame:
+    panel = Panel.of(spark, d)
+    n, fwd1 = panel.bars.select("code").distinct().count(), ev.forward_returns(panel.grid, 1)
+    market = fwd1.groupBy("di").agg(F.avg("value").alias("ret"))
+    choices = [(max(2, n // 10), max(3, n // buffer), days) for days, buffer in ((5, 8), (10, 5))]
+    return strategy.sweep(factors.evaluate("rev_5", panel.grid), panel.calendar, panel.grid, fwd1, market, choices, periods=PERIODS)
 
 
 def layered_backtest_masked(spark: SparkSession, d: str) -> DataFrame:
@@ -279,12 +376,12 @@ def optimizer_backtest(spark: SparkSession, d: str) -> DataFrame:
     style_ret, residuals = style_ret.persist(), residuals.persist()
     everyone = panel.grid.select("di", "code", F.col("close").isNotNull().alias("in_universe"))
     n = panel.bars.select("code").distinct().count()
-    out = optimizer.optimizer_backtest(factors.evaluate("rev_5", panel.grid), fwd1, everyone, styles, style_ret, residuals, names, rebal_days=40, cap=max(0.05, 4 / n), tau=0.0015, warmup_obs=60, min_members=MIN_NAMES, max_iter=500)
+    out = optimizer.optimizer_backtest(factors.evaluate("rev_5", panel.grid), fwd1, everyone, styles, style_ret, residuals, names, cap=max(0.05, 4 / n), tau=0.0015, warmup_obs=60, min_members=MIN_NAMES, periods=PERIODS)
     return out["series"]
 
 
 def _strategies(spark: SparkSession, d: str) -> DataFrame:
-    """Quarterly spreads of brands: average discounted price of each brand over the quarter's mean, less one."""
+    """Monthly spreads of brands: average discounted price of each brand over the month's mean, less one; months without all brands are left out, as the test needs every strategy."""
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_shipdate", (F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("p"))
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_brand").alias("strategy"))
     cells = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.to_date(F.date_trunc("month", "l_shipdate")).alias("t"), "strategy").agg(F.avg("p").alias("p"))
@@ -323,8 +420,8 @@ def admission_check(spark: SparkSession, d: str) -> DataFrame:
     grid = Panel.of(spark, d).grid
     pool = {"vol_20": factors.evaluate("vol_20", grid)}
     found = discipline.admission_check("rev_5", factors.evaluate("rev_5", grid), grid, ev.forward_returns(grid, HORIZON), pool, HORIZON, MIN_NAMES)
-    rows = [(k, str(c["value"]), c["ok"], c["hard"], found["verdict"]) for k, c in found["checks"].items()]
-    return spark.createDataFrame(rows, "gate string, value string, ok boolean, hard boolean, verdict string")
+    rows = [(k, c["value"], c["ok"], c["hard"], found["verdict"]) for k, c in found["checks"].items()]
+    return rounded(spark.createDataFrame(rows, "gate string, value double, ok boolean, hard boolean, verdict string"), 6)
 
 
 def model_walk_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -348,6 +445,10 @@ def _named() -> dict[str, Query]:
         "topn_buffer_weights": topn_buffer_weights, "turnover": turnover, "portfolio_returns": portfolio_returns, "target_holdings": target_holdings,
         "optimizer_solve": optimizer_solve, "optimizer_backtest": optimizer_backtest, "pbo_cscv": pbo_cscv, "noise_control": noise_control,
         "pbo_cscv_full": pbo_cscv_full, "noise_control_full": noise_control_full,
+        "neutralize_two_styles": neutralize_two_styles, "overlay_metrics": overlay_metrics, "rolling_prior": rolling_prior, "prior_asof": prior_asof, "execution_days": execution_days,
+        "upsert_periods": upsert_periods, "pollution_by_year": pollution_by_year, "ic_without_polluted": ic_without_polluted, "realisation_rate": realisation_rate,
+        "attribution_windows": attribution_windows, "style_totals": style_totals, "universe_union": universe_union, "raw_with_adjusted": raw_with_adjusted,
+        "normalised_fundamentals": normalised_fundamentals, "series_moments": series_moments, "portfolio_sweep": portfolio_sweep,
         "psr_dsr": psr_dsr, "admission_check": admission_check, "model_walk_forward": model_walk_forward,
     }
     out |= {f"factor_{name}": _factor(name) for name in factors.list_factors()}

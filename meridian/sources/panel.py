@@ -68,6 +68,22 @@ class Panel:
             cls._known[key] = cls(weekly_bars(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
         return cls._known[key]
 
+    def release(self) -> None:
+        """Give the persisted tables back; the panel is read anew when it is asked for again."""
+        for df in (self.grid, self.calendar, self.bars):
+            df.unpersist()
+        Panel._known = {k: p for k, p in Panel._known.items() if p is not self}
+
+    def save(self, path: str) -> None:
+        """The long table as Parquet, without its missing cells; repeated (date, code) rows raise."""
+        check_unique(self.bars)
+        self.bars.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Panel:
+        """A panel over a saved long table."""
+        return cls(spark.read.parquet(path))
+
     def field(self, name: str) -> DataFrame:
         """One field as ``di, date, code, value``."""
         if name not in FIELDS:
@@ -100,10 +116,10 @@ def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership(bars: DataFrame) -> DataFrame:
-    """Month-wise snapshots: the month's first week with lines, and all codes with a line in the month."""
+    """Month-wise snapshots, dated at the month's last week with lines: all codes with a line in a week of the month, none of them later than the snapshot."""
     month = F.trunc("date", "MM")
-    first = bars.groupBy(month.alias("month")).agg(F.min("date").alias("snap_date"))
-    return bars.select(month.alias("month"), "code").distinct().join(first, "month").select("snap_date", "code")
+    last = bars.groupBy(month.alias("month")).agg(F.max("date").alias("snap_date"))
+    return bars.select(month.alias("month"), "code").distinct().join(last, "month").select("snap_date", "code")
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,114 @@ def test_masked_backtest_scenario(spark):
     assert found["turnover"].dropna().to_dict() == {0: 0.5, 3: 0.0, 6: 0.5}
 
 
+def slow_masked(pct, fwd, can_buy, can_sell, q, every, rate, leg):
+    """One leg by plain bookkeeping, day by day."""
+    held, stuck, out = set(), set(), {}
+    for i in range(len(pct)):
+        cost, turnover = None, None
+        execution = min(i + 1, len(pct) - 1)
+        blocked = lambda table, c: i + 1 < len(pct) and not table.at[execution, c]  # noqa: B023, E731
+        leave = {c for c in stuck if not blocked(can_sell, c)}
+        if leave:
+            cost = rate * len(leave) / len(held)
+            held, stuck = held - leave, stuck - leave
+        row = pct.loc[i].dropna()
+        target = set(row.index[row > 1 - 1 / q] if leg == "top" else row.index[row <= 1 / q])
+        if i % every == 0 and target:
+            buys = {c for c in target - held if not blocked(can_buy, c)}
+            keep = {c for c in held - target if blocked(can_sell, c)}
+            sells = held - target - keep
+            after = (held & target) | buys | keep
+            if after:
+                n = len(buys) + len(sells)
+                turnover, cost = n / (2 * len(after)), (cost or 0) + rate * n / len(after)
+                held, stuck = after, keep
+        got = fwd.loc[i, sorted(held)].dropna()
+        if len(got) or cost is not None:
+            out[i] = ((got.mean() if len(got) else 0) - (cost or 0), turnover)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_masked_backtest_against_bookkeeping(spark, seed):
+    """Random masks; on some rebalances nothing can be bought and all that is held could be sold, so they are skipped."""
+    rng = np.random.default_rng(seed)
+    n, codes = 60, [f"s{k:02}" for k in range(15)]
+    value = pd.DataFrame(rng.normal(size=(n, 15)), columns=codes).mask(rng.random((n, 15)) < 0.1)
+    y = pd.DataFrame(rng.normal(0, 0.02, (n, 15)), columns=codes).mask(rng.random((n, 15)) < 0.1)
+    buy, sell = (pd.DataFrame(rng.random((n, 15)) > 0.3, columns=codes) for _ in range(2))
+    for i in (9, 17, 33, 34):
+        buy.loc[i], sell.loc[i] = False, True
+    masks = spark.createDataFrame([(i, c, bool(buy.at[i, c]), bool(sell.at[i, c])) for i in range(n) for c in codes], "di int, code string, can_buy boolean, can_sell boolean")
+    found = backtest.layered_backtest_masked(long(spark, value), long(spark, y), masks, q=5, rebal_days=4, cost_bps=50).persist()
+    for leg in ("top", "bottom"):
+        expected = slow_masked(value.rank(axis=1, pct=True), y, buy, sell, 5, 4, 0.005, leg)
+        got = {r["di"]: (r["ret"], r["turnover"]) for r in found.where(F.col("leg") == leg).collect()}
+        assert got.keys() == expected.keys()
+        for i, (ret, turnover) in expected.items():
+            assert got[i] == (pytest.approx(ret), None if turnover is None else pytest.approx(turnover)), (leg, i)
+
+
+def test_snapshots_do_not_look_ahead(spark):
+    """No member's first bar of the month comes after the snapshot."""
+    bars = panel_source.Panel.of(spark, "/root/testdata/sf0.001").bars
+    snapshots = panel_source.membership(bars)
+    first = bars.groupBy(F.trunc("date", "MM").alias("m"), "code").agg(F.min("date").alias("first"))
+    assert snapshots.join(first, (F.trunc("snap_date", "MM") == F.col("m")) & (snapshots["code"] == first["code"])).where("first > snap_date").isEmpty()
+    assert snapshots.groupBy(F.trunc("snap_date", "MM")).agg(F.count_distinct("snap_date").alias("k")).where("k > 1").isEmpty()
+
+
+def test_overfitting_keeps_every_combination(spark):
+    """Strategies without deviation in some blocks: infinite or missing ratios stay in the mean."""
+    from itertools import combinations
+
+    x = np.array([[0.01, 0.0, 0.02, -0.01]] * 8 + [[0.03, 0.0, -0.02, 0.01], [0.01, 0.0, 0.02, 0.02]] * 4)
+    rows = [(t, f"s{k}", float(v)) for t, r in enumerate(x) for k, v in enumerate(r)]
+    found = {r["mask"]: r["omega"] for r in discipline.pbo_combinations(spark.createDataFrame(rows, "t int, strategy string, ret double"), 4).collect()}
+    assert len(found) == 6
+    blocks = x.reshape(4, 4, 4)
+
+    def ratios(chosen):
+        z = np.concatenate([blocks[b] for b in chosen])
+        sd, mean = z.std(0, ddof=1), z.mean(0)
+        return np.array([np.nan if s < 1e-9 and abs(m) < 1e-12 else np.sign(m) * np.inf if s < 1e-9 else m / s for m, s in zip(mean, sd)])
+
+    for c in combinations(range(4), 2):
+        inn, out = ratios(c), ratios([b for b in range(4) if b not in c])
+        star = out[np.argmax(np.nan_to_num(inn, nan=-np.inf, posinf=np.inf, neginf=-np.inf))]
+        assert found[sum(1 << b for b in c)] == pytest.approx((out <= star).sum() / 5), c
+    total = discipline.pbo_cscv(spark.createDataFrame(rows, "t int, strategy string, ret double"), 4).first()
+    assert total["n_combinations"] == 6 and total["pbo"] is not None
+
+
+def test_risk_inputs_of_many_days(spark):
+    """All days at once give what each day alone gives."""
+    rng = np.random.default_rng(3)
+    n, codes = 90, [f"s{j:02}" for j in range(20)]
+    style = long(spark, pd.DataFrame(rng.normal(size=(n, 20)), columns=codes), "one")
+    y = long(spark, pd.DataFrame(rng.normal(0, 0.01, (n, 20)), columns=codes).mask(rng.random((n, 20)) < 0.2))
+    ret, residuals = (x.cache() for x in risk.style_factor_returns(y, style, ("one",), min_names=10))
+    days = spark.createDataFrame([(10,), (60,), (85,)], "di int")
+    rows = risk.risk_inputs(days, style, ret, residuals, ("one",), min_obs=40).collect()
+    assert {r["di"] for r in rows} == {60, 85}
+    for di in (60, 85):
+        cov = risk.ewm_cov(ret, ("one",), 90, di - 2).first()["cov"]
+        spec = {r["code"]: r["var"] for r in risk.specific_variance(residuals, di - 2, 60, 20).collect()}
+        for r in rows:
+            if r["di"] == di:
+                assert r["cov"][0] == pytest.approx(cov) and r["var"] == pytest.approx(spec[r["code"]])
+
+
+def test_rebalance_days_are_the_signals_own(spark):
+    """A signal that starts late or has holes rebalances on its own first, sixth, ... day."""
+    x = pd.DataFrame(np.arange(48.0).reshape(12, 4), columns=list("abcd"))
+    signal = long(spark, x).where("di IN (3, 4, 5, 7, 8, 9, 10)")
+    weights = strategy.topn_buffer_weights(signal, calendar(spark, 12), 2, 3, 3)
+    assert weights.agg(F.min("di")).first()[0] == 3
+    ranks = ev.rank_autocorr(signal.withColumn("value", F.hash("di", "code").cast("double")), 4)
+    assert ranks.first()[0] is not None
+
+
 def test_projection_and_optimum():
     rng = np.random.default_rng(0)
     for _ in range(30):
