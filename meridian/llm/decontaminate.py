@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from meridian.llm.frames import without, written
-from meridian.llm.words import ALNUM, LOWER, by_size, scan, text_buffer
+from meridian.llm.words import ALNUM, LOWER, by_size, give_back, scan, text_buffer
 
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20
 GAP = 64
 STEP = 1 << 16  # candidates that are tried together
@@ -277,6 +277,7 @@ def _matches(index: DataFrame, block: Phrases, within: int, hits_only: bool) ->
                 "items": pa.array([items[k] for k in keep], pa.list_(pa.string())), "null_item": pa.array([nulls[k] for k in keep], pa.bool_()),
                 "near": pa.array([near[k] for k in keep], pa.list_(pa.string())), "near_null": pa.array([near_null[k] for k in keep], pa.bool_()),
             })
+        give_back()
 
     return index.mapInArrow(match, f"shard string, row int, id {id_type}, text_hash long, {FOUND}")
 

@@ -90,7 +90,7 @@ def test_ngram_join_chains(spark, monkeypatch, family, grams, cap):
     monkeypatch.setattr(ngram_join, "FAMILY_GRAMS", grams)
     monkeypatch.setattr(ngram_join, "CAP", cap)
     rng, docs = random.Random(3), []
-    for first in range(0, 240, 3):
+    for first in range(0, 150, 3):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 122))]
         edits = [list(base), list(base)]
         for e, at in zip(edits, (rng.randint(3, 45), rng.randint(50, 95))):
