@@ -20,7 +20,7 @@ from meridian.llm import bpe, decontaminate, ngram_join, secrets, toxicity
 from meridian.llm.frames import small_batches, written
 
 SECRET = "[SECRET]"
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def _finished(stage: DataFrame, name: str) -> DataFrame:
