@@ -23,12 +23,6 @@ SECRET = "[SECRET]"
 ARROW_BYTES = 4 << 20
 
 
-def _finished(stage: DataFrame, name: str) -> DataFrame:
-    """A stage's result, computed and written now: Arrow batches of whole rows are bounded by bytes meanwhile, and the session's setting is as before afterwards."""
-    with small_batches(stage.sparkSession, ARROW_BYTES):
-        return written(stage, name)
-
-
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with all columns but id and text under names that no operator uses, and the names they had."""
     names = {f"__c{k}": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
@@ -46,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with small_batches(spark, ARROW_BYTES):
         model = toxicity.trained(spark, docs, sf_dir)
     kept = toxicity.score(plain, model, keep=("text", *names)).where("predicted = 0")
-    return _finished(kept.drop("score", "predicted").withColumnsRenamed(names).select(docs.columns), "toxicity")
+    return kept.drop("score", "predicted").withColumnsRenamed(names).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays; an empty table stays empty; all columns are kept, whatever their names.
     """
     plain, names = _plain(docs)
-    return _finished(ngram_join.keep_one(plain, n=5, percent=80).withColumnsRenamed(names).select(docs.columns), "near-duplicates")
+    return ngram_join.keep_one(plain, n=5, percent=80).withColumnsRenamed(names).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     plain, names = _plain(docs)
     with small_batches(spark, ARROW_BYTES):
         kept = decontaminate.drop_contaminated(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _finished(kept.withColumnsRenamed(names).select(docs.columns), "decontamination")
+    return kept.withColumnsRenamed(names).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +78,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             counted = F.char_length("redacted").cast(docs.schema["n_chars"].dataType)
             found = found.withColumn(new, F.when(F.size("spans") > 0, counted).otherwise(F.col(new)))
     found = found.withColumn("text", F.col("redacted")).drop("spans", "redacted")
-    return _finished(found.withColumnsRenamed(names).select(docs.columns), "secrets")
+    return found.withColumnsRenamed(names).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -98,7 +92,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = {new: old for new, old in names.items() if old not in made}
     out = bpe.encode_decode(plain, public_tokenizers.path("word_bpe_49k.json"), keep=tuple(names))
     out = out.select("doc_id", *names, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return _finished(out.withColumnsRenamed(names), "bpe")
+    return out.withColumnsRenamed(names)
 
 
 STAGES = [
@@ -113,8 +107,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each returns a table that it has written."""
+    """All stages over ``documents``, each written and read again. Arrow batches of whole rows are bounded by bytes meanwhile; the session's setting is as before afterwards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        with small_batches(spark, ARROW_BYTES):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
