@@ -17,12 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm import bpe, decontaminate, ngram_join, secrets, toxicity
-from meridian.llm.frames import small_batches, written
+from meridian.llm.frames import BATCH_BYTES, small_batches, written
 
 SECRET = "[SECRET]"
 ARROW_BYTES = 4 << 20
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Arrow batches of whole rows are bounded by bytes. A stage is computed after it returns, so the setting stays in the caller's session; ``run`` puts back what was there."""
+    spark.conf.set(BATCH_BYTES, str(ARROW_BYTES))
+
+
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with all columns but id and text under names that no operator uses, and the names they had."""
     names = {f"__c{k}": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
@@ -36,6 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are rows of their own; a very long text is scored whole; an empty table stays empty; without usable labels nothing is rejected
     unless the labels seen are mostly 1.
     """
+    _bounded(spark)
     plain, names = _plain(docs)
     with small_batches(spark, ARROW_BYTES):
         model = toxicity.trained(spark, docs, sf_dir)
@@ -49,6 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null, empty and blank texts link with nothing and all stay; a text of fewer than five words is one shingle; of rows that agree in id and text one
     stays; an empty table stays empty; all columns are kept, whatever their names.
     """
+    _bounded(spark)
     plain, names = _plain(docs)
     return ngram_join.keep_one(plain, n=5, percent=80).withColumnsRenamed(names).select(docs.columns)
 
@@ -59,6 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts hold nothing and stay; null, tied and repeated ids are rows of their own (rows that agree in id and text share their fate);
     items without text match nothing; an empty table, of documents or benchmark, drops nothing.
     """
+    _bounded(spark)
     plain, names = _plain(docs)
     with small_batches(spark, ARROW_BYTES):
         kept = decontaminate.drop_contaminated(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -71,6 +79,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts stay as they are; null, tied and repeated ids are rows of their own; a very long text is searched whole; an empty table stays empty; other
     columns are kept, whatever their names.
     """
+    _bounded(spark)
     plain, names = _plain(docs)
     found = secrets.find_secrets(plain, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("text", *names), redact=SECRET)
     for new, old in names.items():
@@ -87,6 +96,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; null, tied and repeated ids are rows of their own; an empty table gives an empty result. A column that is
     called like one of the results (``n_tokens``, ``ids``, ``decoded_sha256``) gives way to it.
     """
+    _bounded(spark)
     made = ("n_tokens", "ids", "decoded_sha256")
     plain, names = _plain(docs)
     names = {new: old for new, old in names.items() if old not in made}
