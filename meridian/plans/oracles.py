@@ -257,7 +257,7 @@ ORACLES: dict[str, str] = {
         STYLES, prepared("size"), prepared("volatility"), f"fy AS (SELECT di, code, {ahead(1)} AS f FROM grid)",
         "c AS (SELECT fy.*, size AS x, volatility AS z FROM fy JOIN p_size USING (di, code) JOIN p_volatility USING (di, code) WHERE f IS NOT NULL AND size IS NOT NULL AND volatility IS NOT NULL)",
         "g AS (SELECT di, count(*) AS n, covar_pop(f, x) AS fx, covar_pop(f, z) AS fz, covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz FROM c GROUP BY di)",
-        select="SELECT 'size' AS style, round(sum((fx * zz - fz * xz) / (xx * zz - xz * xz)), 6) AS total FROM g WHERE n >= 30 UNION ALL SELECT 'volatility', round(sum((fz * xx - fx * xz) / (xx * zz - xz * xz)), 6) FROM g WHERE n >= 30",
+        select="SELECT 'size' AS style, round(sum((fx * zz - fz * xz) / (xx * zz - xz * xz)), 6) AS total FROM g WHERE n >= 30 HAVING count(*) > 0 UNION ALL SELECT 'volatility', round(sum((fz * xx - fx * xz) / (xx * zz - xz * xz)), 6) FROM g WHERE n >= 30 HAVING count(*) > 0",
     ),
     "factor_returns": query(
         SIZE, "styles AS (SELECT di, code, value AS size FROM size)", prepared("size"), f"fy AS (SELECT di, date, code, {ahead(1)} AS f FROM grid)",
