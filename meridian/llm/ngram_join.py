@@ -50,6 +50,7 @@ FAMILY_GRAMS = 8 << 20
 LEVEL_BITS = 20  # weights are integers, so that a level does not depend on what stands before an n-gram
 SCAN_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
+COMPARED = 1 << 12  # pairs of histograms compared at a time
 
 
 def gram_sets(texts: pa.Array, n: int, weights: np.ndarray | None = None, seen: np.ndarray | None = None) -> list[np.ndarray]:
@@ -310,14 +311,16 @@ def _cross_lists(dealt: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _ranges(raw: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Histograms folded to k ranges, and which rows have that many."""
-    out, have = np.zeros((len(raw), k), np.int32), np.zeros(len(raw), bool)
+    """The histograms of at least k ranges, folded to k, and each row's place among them (-1: none)."""
     lengths = np.array([len(x) for x in raw])
-    for length in np.unique(lengths[lengths >= k]):
+    have = np.flatnonzero(lengths >= k)
+    place = np.full(len(raw), -1)
+    place[have] = np.arange(len(have))
+    out = np.zeros((len(have), k), np.uint16)  # a range of 64 holds at most 16 bytes' counts
+    for length in np.unique(lengths[have]):
         at = np.flatnonzero(lengths == length)
-        out[at] = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), k, -1).sum(2, dtype=np.int32)
-        have[at] = True
-    return out, have
+        out[place[at]] = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), k, -1).sum(2, dtype=np.uint16)
+    return out, place
 
 
 def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -337,12 +340,13 @@ def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame
                 row = row[row + d < after[row]]
                 row = row[percent * sizes[row + d] <= 100 * sizes[row]]
                 apart = row[roots[row] != roots[row + d]]
-                for part in np.array_split(apart, len(apart) // 50_000 + 1):
+                for part in np.array_split(apart, len(apart) // COMPARED + 1):
                     other = part + d
                     need = least_overlap(sizes[part], sizes[other], percent)
-                    for bars, have in levels:
-                        both = have[part] & have[other]
-                        top = np.where(both, np.minimum(bars[part], bars[other]).sum(1), need)
+                    for bars, place in levels:
+                        both = (place[part] >= 0) & (place[other] >= 0)
+                        top = need.copy()
+                        top[both] = np.minimum(bars[place[part[both]]], bars[place[other[both]]]).sum(1, dtype=np.int64)
                         part, other, need = part[top >= need], other[top >= need], need[top >= need]
                         if not len(part) or not both.any():
                             break

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20  # bytes scanned at a time
+PIECE = 1 << 18  # bytes scanned at a time
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses; two bases give independent hashes
 
 
