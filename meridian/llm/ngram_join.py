@@ -2,7 +2,8 @@
 
 A document's set holds its distinct word n-grams as 64-bit hashes; documents with equal sets form a
 class, and only classes are joined. All sets use one global order: rarest n-grams first, by the frequencies of their words in
-a counting sketch over all documents, then by hash. Two sets that link share one of their first
+a counting sketch over all documents, then by hash; for the prefixes, n-grams that a sketch of n-grams shows to be very common stand last, so that a
+passage which many documents share is a key only of those that hold little else. Two sets that link share one of their first
 ``n - ceil(t * n) + 1`` members.
 
 1. Each class sends those prefix members, packed by key range; keys of one class only end there. The
@@ -53,10 +54,11 @@ BUCKET_BYTES = 16 << 20
 COMPARED = 1 << 12  # pairs of histograms compared at a time
 
 
-def gram_sets(texts: pa.Array, n: int, weights: np.ndarray | None = None, seen: np.ndarray | None = None) -> list[np.ndarray]:
+def gram_sets(texts: pa.Array, n: int, weights: np.ndarray | None = None, seen: np.ndarray | None = None, last: np.ndarray | None = None) -> list[np.ndarray]:
     """Each text's distinct n-grams, ascending; a text of fewer words has its word sequence as the only one.
 
     A member is a frequency level (six bits, from the summed ``weights`` of the words' sketch slots; zero without them) and 58 bits of hash. ``seen`` counts words.
+    N-grams of the sketch slots marked in ``last`` have the highest level, whatever their words.
     """
     data, offsets = text_buffer(texts)
     words = scan(data, offsets, SPACED, LOWER)
@@ -66,7 +68,10 @@ def gram_sets(texts: pa.Array, n: int, weights: np.ndarray | None = None, seen:
     grams, out = rolling(words.hashes, n) >> np.uint64(6), []
     if weights is not None and len(grams):
         total = np.concatenate([[0], np.cumsum(weights[slots])])
-        grams |= np.clip((total[n:] - total[:-n]) >> LEVEL_BITS, 0, 63).astype(np.uint64) << np.uint64(58)
+        level = np.clip((total[n:] - total[:-n]) >> LEVEL_BITS, 0, 62)
+        if last is not None:
+            level[last[(grams >> np.uint64(58 - SLOT_BITS)).astype(np.int64)]] = 63
+        grams |= level.astype(np.uint64) << np.uint64(58)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
@@ -220,18 +225,23 @@ def _dealt(key: np.ndarray, name: np.ndarray, parts: np.ndarray | int) -> np.nda
     return mix(key + mix(part + np.uint64(1)))
 
 
-def _lists(docs: DataFrame, text_col: str, n: int, percent: int, weights: np.ndarray, counts: np.ndarray) -> DataFrame:
+def _tiles(counts: np.ndarray) -> np.ndarray:
+    """Per sketch slot, over how many lists a key of it is dealt: one for all but the slots of very common n-grams."""
+    usual = float(counts.mean())
+    return np.maximum(1, np.ceil((counts - usual - 6 * np.sqrt(usual)) / CAP)).astype(np.int64)
+
+
+def _lists(docs: DataFrame, text_col: str, n: int, percent: int, weights: np.ndarray, tiles: np.ndarray) -> DataFrame:
     """Lists of classes that share a prefix member: ``list`` (a name), ``class``, one row per member. Classes of a dealt key have rows
     with the key in ``whole`` and no ``list`` besides."""
-    usual = float(counts.mean())
-    tiles = np.maximum(1, np.ceil((counts - usual - 6 * np.sqrt(usual)) / CAP)).astype(np.int64)
+    last = tiles > 1
     n_buckets = max(1, -(-text_bytes(docs, text_col) // BUCKET_BYTES))
     edges = np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", SCAN_BYTES):
             keys, names, wholes, seen = [], [], [], set()
-            for grams in gram_sets(batch.column("text"), n, weights):
+            for grams in gram_sets(batch.column("text"), n, weights, last=last):
                 name = class_name(grams) if len(grams) else None
                 if name is None or name in seen:
                     continue
@@ -530,7 +540,7 @@ def _connected(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
     classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"), one.alias("one"))
     classes = classes.select("class", "n", "histogram", "one.id", "one.text_hash")
-    lists = _lists(docs, text_col, n, percent, weights, gram_counts)
+    lists = _lists(docs, text_col, n, percent, weights, _tiles(gram_counts))
     candidates = written(_candidates(lists.where("list IS NOT NULL").select("list", "class", F.col("class").alias("root")), classes, percent), "candidates")
     wanted = written(candidates.select("class").distinct().join(classes.select("class", "id", "text_hash"), "class"), "wanted")
     sequences = written(_sequences(docs, id_col, text_col, n, wanted, weights), "sequences")
