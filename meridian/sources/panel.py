@@ -23,16 +23,19 @@ def code_of(key: str) -> Column:
 
 
 def weekly_bars(lines: DataFrame) -> DataFrame:
-    """One row per week and code that has order lines, in the long table's columns."""
+    """One row per week and code that has order lines, in the long table's columns.
+
+    Lines are grouped by the code itself, so that bars stand as the dense grid's join needs them and are not dealt out again.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    bars = lines.groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), "l_suppkey").agg(
+    bars = lines.groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), code_of("l_suppkey").alias("code")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"),
         F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("amount"),
         F.min((F.col("l_returnflag") == "R").cast("int")).cast("byte").alias("is_st"),
     )
     return bars.select(
-        "date", code_of("l_suppkey").alias("code"), "open", "high", "low", "close", F.col("close").alias("adj_close"), "volume", "amount",
+        "date", "code", "open", "high", "low", "close", F.col("close").alias("adj_close"), "volume", "amount",
         F.least(F.lit(1.0), F.col("volume") / FLOAT_SHARES).alias("turn"), "is_st", (F.col("volume") >= LEAST_VOLUME).cast("byte").alias("is_trading"),
     )
 

@@ -588,3 +588,27 @@ def test_full_discipline_queries(spark):
     """The operators' own 20 arms and 12,870 combinations."""
     assert queries.QUERIES["noise_control_full"](spark, "/root/testdata/sf0.01").first()["n_arms"] == 20
     assert queries.QUERIES["pbo_cscv_full"](spark, "/root/testdata/sf0.01").first()["n_combinations"] == 12870
+
+
+def test_noise_control_deals_arms_where_the_day_is(spark):
+    """No row is copied per arm, and every day's coefficients are those of the dealt values."""
+    folder = "/root/testdata/sf0.01"
+    grid = panel_source.Panel.of(spark, folder).grid
+    factor, label = factors.evaluate("rev_5", grid), ev.forward_returns(grid, 5)
+    plan = discipline.noise_control(factor, label)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Generate" in line and "arm#" in line]
+    found = {(r["di"], r["arm"]): r["ic"] for r in discipline.control_series(factor, label, 3, 20).collect()}
+    y = label.where("value IS NOT NULL").select("di", "code", F.col("value").alias("y"))
+    dealt = ev.ic_of(discipline.permuted(factor, 3).withColumnRenamed("value", "f").join(y, ["di", "code"]), "arm", min_names=20).select("di", "arm", "ic")
+    wanted = {(r["di"], r["arm"]): r["ic"] for r in dealt.union(ev.ic_series(factor, label, 20).select("di", F.lit(-1), "ic")).collect()}
+    assert found == pytest.approx(wanted) and len(wanted) > 1000
+    none = discipline.noise_control(factor, label, 3, 10**6).first()
+    assert tuple(none) == (None, None, None, 1.0, 0)
+
+
+def test_bars_are_not_dealt_out_again_for_the_grid(spark):
+    """Bars are grouped by the keys of the grid's join, so the join exchanges only the grid's cells."""
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    plan = panel_source.weekly_bars(lines)._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert len(keys) == 1 and "l_suppkey" not in keys[0].split(")")[0]
