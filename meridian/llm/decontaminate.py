@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meridian.llm.frames import without, written
+from meridian.llm.frames import scratch, without, written
 from meridian.llm.words import ALNUM, LOWER, by_size, give_back, scan, text_buffer
 
 SHARD_BYTES = 1 << 20
@@ -334,8 +334,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Null and empty texts stay; rows that agree in id and text share their fate; a benchmark without words drops nothing.
     """
-    found = contamination(docs, benchmark, id_col, text_col, within=0).where(F.size("spans") > 0)
-    return without(docs, found, id_col, text_col)
+    with scratch(docs.sparkSession, keep="gone"):
+        found = contamination(docs, benchmark, id_col, text_col, within=0).where(F.size("spans") > 0)
+        return without(docs, found, id_col, text_col)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

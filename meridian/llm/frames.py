@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from meridian.llm.words import give_back
 
 
 _KEPT: set[str] = set()
+_SCRATCH: list[list[str]] = []  # tables written inside the scratches that are open, innermost last
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,10 +56,35 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     """``df`` written as a table in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{table_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_driver(spark: SparkSession) -> None:
+    """Collect garbage on the driver: shuffle files and broadcasts of steps that are done go only then, and its heap shrinks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: str) -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at the end, but for those named ``keep``. Whatever is used later may depend on those only."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        made = _SCRATCH.pop()
+        kept = [p for p in made if p.rpartition("/")[2].rpartition("-")[0] == keep]
+        if _SCRATCH:
+            _SCRATCH[-1].extend(kept)
+        for name in set(made) - set(kept):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        settle_driver(spark)
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

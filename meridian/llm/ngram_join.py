@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from meridian.llm.components import components
-from meridian.llm.frames import joined_by_few, small_batches, text_bytes, whole_groups, without, written
+from meridian.llm.frames import joined_by_few, scratch, settle_driver, small_batches, text_bytes, whole_groups, without, written
 from meridian.llm.words import LOWER, SPACED, by_size, mix, rolling, scan, text_buffer
 
 SLOT_BITS = 18
@@ -504,7 +504,7 @@ def _family_links(families: DataFrame, sequences: DataFrame, percent: int) -> Da
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """``id, text_hash, n, root`` of every document: equal roots mean that links connect them; null without a set."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession, keep="rooted"):
         return written(_connected(docs, id_col, text_col, n, percent), "rooted")
 
 
@@ -521,6 +521,7 @@ def _settle(candidates: DataFrame, sequences: DataFrame, percent: int, links: Da
     family = components(forest.union(ends.select("class", "root"))).select(F.col("node").alias("root"), F.col("root").alias("family"))
     family = members.select("class", "root").distinct().join(family, "root").join(sequences.select("class", "n"), "class")
     family = written(family.select("class", "root", "family", "n"), "families")
+    settle_driver(family.sparkSession)
     over = lambda df, key, most: df.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).where((F.col("k") > most) | (F.col("n") > FAMILY_GRAMS)).select(key)
     large = written(over(family, "family", FAMILY), "large-families")
     more = _family_links(family.join(large, "family", "left_anti"), sequences, percent)
@@ -541,16 +542,21 @@ def _connected(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     classes = described.where("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"), one.alias("one"))
     classes = classes.select("class", "n", "histogram", "one.id", "one.text_hash")
     lists = _lists(docs, text_col, n, percent, weights, _tiles(gram_counts))
+    settle_driver(docs.sparkSession)
     candidates = written(_candidates(lists.where("list IS NOT NULL").select("list", "class", F.col("class").alias("root")), classes, percent), "candidates")
+    settle_driver(docs.sparkSession)
     wanted = written(candidates.select("class").distinct().join(classes.select("class", "id", "text_hash"), "class"), "wanted")
     sequences = written(_sequences(docs, id_col, text_col, n, wanted, weights), "sequences")
+    settle_driver(docs.sparkSession)
     stars = candidates.where("centre IS NOT NULL").select(F.col("centre").alias("u"), F.col("class").alias("v")).distinct()
     links = written(_links(written(_close(stars, sequences, percent), "star-pairs"), sequences, percent), "star-links")
     links, roots = _settle(candidates, sequences, percent, links, components(links))
+    settle_driver(docs.sparkSession)
     dealt = lists.where("whole IS NOT NULL").select("whole", "class").distinct()
     cross = written(_cross_lists(dealt, roots), "cross-lists") if not dealt.isEmpty() else dealt
     if not cross.isEmpty():
         candidates = written(_candidates(cross, classes, percent), "cross-candidates")
+        settle_driver(docs.sparkSession)
         wanted = candidates.select("class").distinct().join(sequences, "class", "left_anti").join(classes.select("class", "id", "text_hash"), "class")
         more = written(_sequences(docs, id_col, text_col, n, written(wanted, "wanted"), weights), "sequences")
         links, roots = _settle(candidates, sequences.unionByName(more), percent, links, roots)
@@ -578,13 +584,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     Texts without words all stay. Of rows that agree in id and text one stays. All columns are kept.
     """
-    rooted = _rooted(docs, id_col, text_col, n, percent).where("root IS NOT NULL")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    best = rooted.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
-    losers = joined_by_few(rooted, best, ["root"], "size", rooted.count()).where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))))
-    kept = without(docs, losers, id_col, text_col)
-    if rooted.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
-        return kept
+    with scratch(docs.sparkSession, keep="gone"):
+        rooted = _rooted(docs, id_col, text_col, n, percent).where("root IS NOT NULL")
+        order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+        best = rooted.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
+        losers = joined_by_few(rooted, best, ["root"], "size", rooted.count()).where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))))
+        kept = without(docs, losers, id_col, text_col)
+        if rooted.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+            return kept
     worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     once = kept.where(worded).withColumn("__hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__hash"]).drop("__hash")
     return once.unionByName(kept.where(~worded))

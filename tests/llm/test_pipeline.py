@@ -1,5 +1,9 @@
+from pathlib import Path
+
 import pytest
 
+from meridian.llm import frames
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -17,3 +21,16 @@ def test_stages_keep_clean_documents_and_columns(spark, awkward, empty, tmp_path
     assert "[SECRET]" in kept[15]["text"] and kept[15]["n_chars"] == len(kept[15]["text"]) and kept[7]["text"] == dict(docs)[7]
     last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
     assert len(last) == at.count() and all(4 * r["n_tokens"] == len(r["ids"]) for r in last)
+
+
+def test_stages_leave_only_what_their_result_reads(spark):
+    """Near duplicates and decontamination keep the table of dropped rows; sets, lists and postings go with the call."""
+    folder_of_tables = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder_of_tables}/documents.parquet")
+    folder = Path(frames.table_folder(spark).removeprefix("file:"))
+    tables = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        before = tables()
+        out = stage(spark, docs, folder_of_tables)
+        assert {name.rpartition("-")[0] for name in tables() - before} == {"gone"}
+        assert 0 < out.count() <= docs.count()
