@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meridian.llm.frames import carried, settle_driver
+from meridian.llm.frames import carried, settle_driver, small_batches
 from meridian.llm.words import ALNUM, LOWER, by_size, give_back, mix, scan, text_buffer
 
 BITS = 18
@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).join(F.broadcast(chosen), "id")
     rows = rows.select("id", "text", "label", "text_hash").mapInArrow(run, "id string, label int, text_hash long, slots binary")
     rows = rows.groupBy("id").agg(F.first("label").alias("label"), F.min_by("slots", F.struct("text_hash", "slots")).alias("slots"))
-    found = rows.toArrow().sort_by("id")  # one row per chosen id; as Arrow they are never rows of the driver's heap
+    with small_batches(docs.sparkSession):
+        found = rows.toArrow().sort_by("id")  # one row per chosen id; as Arrow they are never rows of the driver's heap
     model = fit([np.frombuffer(x.as_buffer(), np.int32) for x in found.column("slots")], found.column("label").to_numpy().astype(np.float64))
     del found
     give_back()
